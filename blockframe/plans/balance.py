@@ -71,7 +71,7 @@ def make_plan(df: DataFrame, keys: list[str], tasks: int | None = None, buckets:
     shards: dict[tuple, int] = {}
     for r in rows:
         for x in r["large"]:
-            key = tuple(x[k] for k in keys)
+            key = tuple(tuple(v) if isinstance(v := x[k], list) else v for k in keys)
             shards[key] = max(1, -(-int(x["__n"]) // max(1, int(even * slack))))
             sizes += [(x["__n"] / shards[key], ("key", key, s)) for s in range(shards[key])]
     at, loads = pack(sizes, tasks)
