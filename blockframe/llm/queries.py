@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm import bpe, packing, pairs, proportions
+from blockframe.llm import bpe, clusters, neighbours, packing, pairs, proportions
 from blockframe.plans.runtime import durable, table
 
 IRIS, RATINGS = "iris_csv", "sample_movielens_ratings"
+FLOWER = ["sepallength", "petallength", "petalwidth"]
 MEASURES = ["sepallength", "sepalwidth", "petallength", "petalwidth"]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of usable rows of which one is among the 5 nearest of the other."""
+    near = neighbours.nearest(table(spark, sf_dir, IRIS), "row_idx", MEASURES)
+    pair = near.select("row_idx", F.explode("near").alias("e")).select(
+        F.least("row_idx", "e.id").alias("row_a"), F.greatest("row_idx", "e.id").alias("row_b")
+    )
+    return pair.distinct()
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest other usable rows of every usable row, with rank and distance."""
+    near = neighbours.nearest(table(spark, sf_dir, IRIS), "row_idx", MEASURES)
+    ranked = near.select("row_idx", F.posexplode("near").alias("rank", "e"))
+    return ranked.select("row_idx", (F.col("rank") + 1).alias("rank"), F.col("e.id").alias("neighbour"), F.round(F.sqrt("e.d"), 9).alias("distance"))
+
+
 def p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, IRIS).select("row_idx", "block_id", "class", *MEASURES)
     return proportions.distinct_units(rows, "row_idx", "block_id", "class", MEASURES)
@@ -48,6 +65,17 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_a", "item_b", "common", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the clusters of at least 3 rows joined by steps of at most 0.02."""
+    return clusters.linked(table(spark, sf_dir, IRIS), "row_idx", FLOWER, eps=0.02)
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine clusters with their sizes and five most typical rows each."""
+    assigned, _ = clusters.cluster(table(spark, sf_dir, IRIS), "row_idx", FLOWER, clusters=9, threshold=0.1)
+    return clusters.describe(assigned, "row_idx")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"))
@@ -70,7 +98,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY), 6))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p5_found, p5_pairs, p7_ids, p8_containers, p8_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_report, p3_sample, p5_found, p5_pairs, p6_found, p6_clusters, p7_ids, p8_containers, p8_report)}
 
 _USABLE = " AND ".join(f"{m} IS NOT NULL AND NOT isnan({m}) AND {m} > 0" for m in MEASURES)
 _CELLS = f"""
@@ -91,7 +119,24 @@ scored AS (
   SELECT item_a, item_b, common, a.n AS na, b.n AS nb, total.n AS n
   FROM common JOIN supports a ON a.c1 = item_a JOIN supports b ON b.c1 = item_b, total)
 """
+_NEAR = f"""
+usable AS (SELECT row_idx, {", ".join(MEASURES)} FROM iris_csv WHERE {_USABLE}),
+distances AS (
+  SELECT a.row_idx AS row_idx, b.row_idx AS neighbour, {" + ".join(f"(a.{m} - b.{m}) * (a.{m} - b.{m})" for m in MEASURES)} AS d
+  FROM usable a, usable b WHERE a.row_idx <> b.row_idx),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY d, neighbour) AS rank FROM distances QUALIFY rank <= 5)
+"""
 ORACLES = {
+    "p2_found": f"WITH {_NEAR} SELECT DISTINCT least(row_idx, neighbour) AS row_a, greatest(row_idx, neighbour) AS row_b FROM near",
+    "p2_neighbours": f"WITH {_NEAR} SELECT row_idx, rank::INT AS rank, neighbour, round(sqrt(d), 9) AS distance FROM near",
+    "p6_found": f"""WITH RECURSIVE
+        points AS (SELECT row_idx, {", ".join(FLOWER)} FROM iris_csv WHERE {" AND ".join(f"{m} IS NOT NULL AND NOT isnan({m}) AND {m} > 0" for m in FLOWER)}),
+        links AS (SELECT a.row_idx AS u, b.row_idx AS v FROM points a, points b
+                  WHERE {" + ".join(f"(a.{m} - b.{m}) * (a.{m} - b.{m})" for m in FLOWER)} <= 0.02 * 0.02 + 4e-13),
+        reach AS (SELECT u AS root, u AS v FROM links UNION SELECT root, links.v FROM reach JOIN links ON reach.v = links.u WHERE links.v > root OR root IS NULL),
+        labels AS (SELECT v AS row_idx, min(root) AS cluster_row FROM reach GROUP BY v)
+        SELECT cluster_row, row_idx FROM labels QUALIFY count(*) OVER (PARTITION BY cluster_row) >= 3""",
     "p3_found": f"WITH {_CELLS} SELECT block_id, class FROM cells WHERE need > supply",
     "p3_report": f"""WITH {_CELLS} SELECT block_id, class, need, supply, greatest(need - supply, 0) AS gap, least(need, supply) AS expected,
         CASE WHEN supply = 0 THEN 0.0 ELSE round(least(need, supply) / supply, 6) END AS p FROM cells""",
