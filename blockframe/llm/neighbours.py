@@ -225,7 +225,7 @@ class Index:
 
         def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
             if not len(asked) or not len(stored):
-                return pd.DataFrame({"vid": [], "near": []})
+                return pd.DataFrame({"vid": [], "id": [], "d": []})
             stored = stored.sort_values("vid")
             ids, d = nearest_rows(np.array(asked["x"].tolist(), float), np.array(stored["x"].tolist(), float), list(stored["ids"]), k + 1)
             return pd.DataFrame({"vid": np.repeat(asked["vid"].to_numpy(), k + 1), "id": ids.ravel(), "d": d.ravel()}).query("id >= 0")
