@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm import bpe, clusters, neighbours, packing, pairs, proportions
+from blockframe.llm import abuse, bpe, clusters, neighbours, packing, pairs, proportions
 from blockframe.plans.runtime import durable, table
 
 IRIS, RATINGS = "iris_csv", "sample_movielens_ratings"
@@ -98,7 +98,23 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY), 6))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_report, p3_sample, p5_found, p5_pairs, p6_found, p6_clusters, p7_ids, p8_containers, p8_report)}
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, verdict and evidence of every document."""
+    documents = table(spark, sf_dir, "documents")
+    return abuse.score(documents, abuse.fit(documents, table(spark, sf_dir, "doc_labels")), keep=("source",))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abusive documents."""
+    return p9_scores(spark, sf_dir).filter("abusive").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, abusive documents and their rate of every source."""
+    return abuse.rates(p9_scores(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_report, p3_sample, p5_found, p5_pairs, p6_found, p6_clusters, p7_ids, p8_containers, p8_report, p9_found, p9_scores, p9_rates)}
 
 _USABLE = " AND ".join(f"{m} IS NOT NULL AND NOT isnan({m}) AND {m} > 0" for m in MEASURES)
 _CELLS = f"""
