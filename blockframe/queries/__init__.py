@@ -1,7 +1,6 @@
 """Registered queries of the core engine with their DuckDB equivalents."""
 
-from blockframe.queries.rows import ORACLES as ROW_ORACLES
-from blockframe.queries.rows import QUERIES as ROW_QUERIES
+from blockframe.queries import arrays, estimators, rows
 
-QUERIES = {**ROW_QUERIES}
-ORACLES = {**ROW_ORACLES}
+QUERIES = {**rows.QUERIES, **arrays.QUERIES, **estimators.QUERIES}
+ORACLES = {**rows.ORACLES, **arrays.ORACLES, **estimators.ORACLES}
