@@ -130,8 +130,8 @@ def _base(passages: Iterable[str]) -> bytes:
     samples = sorted((p.encode("utf-8", "replace") for p in passages), key=lambda p: (zlib.crc32(p), p))
     try:
         return zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on
-        return b"\n".join(samples)[-BASE_BYTES:]
+    except zstandard.ZstdError:  # too few samples to tell what is common
+        return b"\n".join(deepen(x.lower()).encode() for x in ORDINARY)
 
 
 def _with(base: bytes, passages: list[str]) -> bytes:

@@ -12,7 +12,7 @@ vector belongs to its nearest leaf and visits every leaf whose centroid is at mo
 contraction rounds over leaf components, never on the driver. A leaf of over ``LEAF_CAP`` vectors is cut into cells with margins.
 Distances up to ``eps`` plus 1e-11 count, which for values of six decimals is the exact decimal comparison.
 
-Defined cases: rows with null, NaN or non-positive measures belong to no cluster; equal vectors are handled once and count with all
+Defined cases: rows with null, NaN, infinite or non-positive measures belong to no cluster; equal vectors are handled once and count with all
 their rows; ties in distance go by row id; an empty table gives an empty result; other columns, whatever their names, are unused.
 """
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockframe.llm.proportions import usable
+from blockframe.llm.proportions import finite
 from blockframe.operators.skew import fragment_replicate_join
 from blockframe.plans.graph import components, contract
 from blockframe.plans.runtime import durable
@@ -146,7 +146,7 @@ def _summaries(d: int, threshold: float, leaves: int):
 
     def frame(tree: CFTree | None, part: int) -> pd.DataFrame:
         if tree is None:
-            return pd.DataFrame({"part": [], "n": [], "s": [], "ss": [], "t": []})
+            return pd.DataFrame({"part": [], "n": [], "s": [], "ss": [], "t": []}).astype({"s": object})
         n, s, ss = tree.entries()
         return pd.DataFrame({"part": part, "n": n, "s": list(s), "ss": ss, "t": tree.threshold})
 
@@ -224,13 +224,13 @@ def ward(n: np.ndarray, c: np.ndarray, clusters: int) -> np.ndarray:
 
 def distinct_points(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """(vid, x, n): each distinct usable vector, its smallest row id and its number of rows."""
-    rows = df.filter(usable(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    rows = df.filter(finite(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     return rows.groupBy("x").agg(F.min("id").alias("vid"), F.count(F.lit(1)).alias("n")).select("vid", "x", "n")
 
 
 def cluster(df: DataFrame, row_id: str, columns: list[str], clusters: int, threshold: float) -> tuple[DataFrame, np.ndarray]:
     """(row_id, cluster, distance) of every usable row, and the centroids: leaf summaries, Ward, one assignment pass."""
-    rows = df.filter(usable(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    rows = df.filter(finite(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     n, c = leaf_summaries(rows.withColumn("n", F.lit(1.0)), len(columns), threshold)
     labels = ward(n, c, clusters)
     centroids = np.array([np.average(c[labels == k], axis=0, weights=n[labels == k]) for k in range(labels.max() + 1 if len(labels) else 0)])
@@ -319,5 +319,5 @@ def linked(df: DataFrame, row_id: str, columns: list[str], eps: float, min_rows:
     whole = points.join(own, "vid").select("x", "n", "vid", "root")
     sizes = whole.groupBy("root").agg(F.sum("n").alias("size"), F.min("vid").alias("cluster_row")).filter(F.col("size") >= min_rows)
     members = fragment_replicate_join(whole.select("x", "root"), sizes.select("root", "cluster_row"), ["root"]).select("x", "cluster_row")
-    rows = df.filter(usable(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    rows = df.filter(finite(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     return fragment_replicate_join(rows, members, ["x"]).select("cluster_row", F.col("id").alias(row_id))

@@ -12,7 +12,7 @@ into the ball of its k-th distance. Results are then exact: Euclidean distance,
 Equal vectors are one entry with its ``k + 1`` smallest row ids, since no further copy can be among the k nearest of any row; every
 row receives the result of its vector, without itself.
 
-Defined cases: rows with null, NaN or non-positive measures are neither queries nor results; with fewer than k other rows all
+Defined cases: rows with null, NaN, infinite or non-positive measures are neither queries nor results; with fewer than k other rows all
 of them come out; row ids are assumed unique; an empty table gives an empty result; other columns, whatever their names, are unused.
 """
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockframe.llm.proportions import usable
+from blockframe.llm.proportions import finite
 from blockframe.operators.skew import fragment_replicate_join
 from blockframe.plans.runtime import durable, shuffle_tasks
 
@@ -178,7 +178,7 @@ def nearest_rows(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) ->
 
 def distinct_vectors(df: DataFrame, row_id: str, columns: list[str], copies: int) -> DataFrame:
     """(vid, x ARRAY, ids ARRAY): each distinct usable vector with the ``copies`` smallest of its row ids."""
-    rows = df.filter(usable(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    rows = df.filter(finite(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("x").orderBy("id"))).filter(F.col("n") <= copies)
     return first.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("vid"), "x", "ids")
 
@@ -264,7 +264,7 @@ def nearest(df: DataFrame, row_id: str, columns: list[str], k: int = 5) -> DataF
     vectors = durable(distinct_vectors(df, row_id, columns, k + 1))
     found = Index(vectors, k).search()
     results = vectors.select("vid", "x").join(found, "vid").select("x", "near")
-    rows = df.filter(usable(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    rows = df.filter(finite(columns)).select(F.col(row_id).cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     joined = fragment_replicate_join(rows, results, ["x"])
     others = F.filter("near", lambda e: e["id"] != F.col("id"))
     return joined.select(F.col("id").alias(row_id), F.slice(others, 1, k).alias("near"))

@@ -2,8 +2,9 @@
 
 Conflict-constrained best fit: items are taken largest first; the open bins are ordered by what is left in them, and each
 bin carries two bitmaps, of the sources and of the duplicate clusters (equal texts) it holds. The successor search starts
-at the tightest bin that has room and goes on until the tightest *compatible* bin is found. Unused space counts first: where no
-bin is compatible, the tightest bin free of the item's cluster is taken, then the tightest bin, before a new one is opened.
+at the tightest bin that has room and goes on until the tightest *compatible* bin is found. Where none is, a new bin is opened as
+long as fewer are open than all items need at least. Beyond, unused space counts first: the tightest bin free of the item's
+cluster is taken, then the tightest bin, before one more is opened.
 
 Only an item beyond the capacity is split: into pieces of exactly the capacity, which fill a container each, and a rest
 that is packed like any item. Packing runs in groups of items drawn by hash, sized so that a group's last, partly filled
@@ -37,8 +38,8 @@ _ROW = "__id {kind}, piece int, start int, size int, __source bigint, __cluster
 class Bins:
     """Open bins in the order of their residuals, with bitmaps of what they hold."""
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    def __init__(self, capacity: int, least: int = 0):
+        self.capacity, self.least = capacity, least
         self.residuals: list[int] = []  # distinct residuals that have bins, ascending
         self.at: dict[int, list[int]] = {}
         self.sources: list[int] = []
@@ -60,7 +61,7 @@ class Bins:
     def add(self, size: int, source: int, cluster: int) -> tuple[int, int]:
         """Put an item; (bin, degree of relaxation)."""
         found = self._search(size, source, cluster)
-        if found:
+        if found and (not found[2] or len(self.sources) >= self.least):
             residual, place, relaxed = found
             here = self.at[residual]
             b = here.pop(place)
@@ -88,7 +89,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
         seen[c] = seen.get(c, 0) + 1
     source_bit: dict = {}
     cluster_bit: dict = {}
-    bins, where, relaxed = Bins(capacity), [], []
+    bins, where, relaxed = Bins(capacity, -(-sum(sizes) // capacity)), [], []
     for size, s, c in zip(sizes, sources, clusters, strict=True):
         sb = source_bit.setdefault(s, 1 << len(source_bit))
         cb = cluster_bit.setdefault(c, 1 << len(cluster_bit)) if seen[c] > 1 else 0

@@ -62,16 +62,16 @@ def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums, triangles = Sums(), {}
     for batch in batches:
         offsets, values = np.asarray(batch.column(0).offsets), np.asarray(batch.column(0).values).astype(np.int64)
-        for k, (weight, begin) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        for k, (weight, begin, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
             items = values[offsets[k] : offsets[k + 1]]
             low, m = items & 0xFFFFFFFF, len(items)
-            if m <= 256:
+            if m <= 256 and end - begin >= m:
                 if m not in triangles:
                     triangles[m] = np.triu_indices(m, 1)
                 i, j = triangles[m]
                 sums.add((items[i] << 32) | low[j], weight)
             else:
-                for i in range(begin, min(begin + BLOCK, m - 1)):
+                for i in range(begin, min(end, m - 1)):
                     sums.add((items[i] << 32) | low[i + 1 :], weight)
             if len(sums.code) >= HELD:
                 yield sums.take()
@@ -92,7 +92,8 @@ def collapse(members: DataFrame) -> DataFrame:
 def pair_counts(collapsed: DataFrame) -> DataFrame:
     """(item_a, item_b, common) with item_a < item_b over collapsed baskets."""
     begins = F.when(F.size("items") > BLOCK, F.sequence(F.lit(0), F.size("items") - 1, F.lit(BLOCK))).otherwise(F.array(F.lit(0)))
-    spread = collapsed.select("items", "weight", F.explode(begins).alias("begin")).repartition(shuffle_tasks(collapsed.sparkSession))
+    spread = collapsed.select("items", "weight", F.explode(begins).alias("begin"))
+    spread = spread.withColumn("end", F.least(F.col("begin") + BLOCK, F.size("items"))).repartition(shuffle_tasks(collapsed.sparkSession))
     sums = spread.mapInArrow(_enumerate, "item_a int, item_b int, common bigint")
     return sums.groupBy("item_a", "item_b").agg(F.sum("common").alias("common"))
 

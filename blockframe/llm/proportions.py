@@ -38,6 +38,14 @@ def usable(columns: list[str]) -> Column:
     return out
 
 
+def finite(columns: list[str]) -> Column:
+    """Usable measures that are also finite, so that distances are numbers."""
+    out = usable(columns)
+    for c in columns:
+        out = out & (F.col(c) < F.lit(float("inf")))
+    return out
+
+
 def distinct_units(df: DataFrame, row_id: str, block: str, category: str, measures: list[str]) -> DataFrame:
     """(row_id, block, category): one row for each distinct vector of measures in a block and category."""
     rows = df.filter(usable(measures)).filter(F.col(block).isNotNull() & F.col(category).isNotNull())
@@ -103,7 +111,7 @@ def pivotal(p: np.ndarray, random: np.random.Generator) -> np.ndarray:
                 values[k], values[i], k = 0.0, a + b, i
             else:
                 values[k], values[i] = a + b, 0.0
-        elif duels[i] * (2 - a - b) < 1 - b:
+        elif duels[i] * (2 - a - b) < 1 - a:
             values[k], values[i] = a + b - 1, 1.0
         else:
             values[k], values[i], k = 1.0, a + b - 1, i

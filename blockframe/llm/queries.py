@@ -116,7 +116,8 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_report, p3_sample, p5_found, p5_pairs, p6_found, p6_clusters, p7_ids, p8_containers, p8_report, p9_found, p9_scores, p9_rates)}
 
-_USABLE = " AND ".join(f"{m} IS NOT NULL AND NOT isnan({m}) AND {m} > 0" for m in MEASURES)
+#: Column statistics leave NaN out and isnan() is folded over them, hence the text comparison.
+_USABLE = " AND ".join(f"{m} IS NOT NULL AND {m}::VARCHAR <> 'nan' AND {m} > 0" for m in MEASURES)
 _CELLS = f"""
 units AS (
   SELECT DISTINCT block_id, class, {", ".join(MEASURES)} FROM iris_csv WHERE {_USABLE} AND block_id IS NOT NULL AND class IS NOT NULL),
@@ -147,7 +148,7 @@ ORACLES = {
     "p2_found": f"WITH {_NEAR} SELECT DISTINCT least(row_idx, neighbour) AS row_a, greatest(row_idx, neighbour) AS row_b FROM near",
     "p2_neighbours": f"WITH {_NEAR} SELECT row_idx, rank::INT AS rank, neighbour, round(sqrt(d), 9) AS distance FROM near",
     "p6_found": f"""WITH RECURSIVE
-        points AS (SELECT row_idx, {", ".join(FLOWER)} FROM iris_csv WHERE {" AND ".join(f"{m} IS NOT NULL AND NOT isnan({m}) AND {m} > 0" for m in FLOWER)}),
+        points AS (SELECT row_idx, {", ".join(FLOWER)} FROM iris_csv WHERE {" AND ".join(f"{m} IS NOT NULL AND {m}::VARCHAR <> 'nan' AND {m} > 0" for m in FLOWER)}),
         links AS (SELECT a.row_idx AS u, b.row_idx AS v FROM points a, points b
                   WHERE {" + ".join(f"(a.{m} - b.{m}) * (a.{m} - b.{m})" for m in FLOWER)} <= 0.02 * 0.02 + 4e-13),
         reach AS (SELECT u AS root, u AS v FROM links UNION SELECT root, links.v FROM reach JOIN links ON reach.v = links.u WHERE links.v > root OR root IS NULL),
