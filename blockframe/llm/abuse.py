@@ -41,6 +41,8 @@ SIGNS = 16
 BASE_BYTES, OWN_BYTES = 64_000, 100_000
 #: Scores: of an ordinary passage that may be confused, of the chosen passage of a labelled document, of one learned without a label.
 CONFUSED, CLEAR, SURE = 2, 5, 12
+#: No passage is shorter than this under any of the dictionaries, with a margin of several bytes.
+SHORTEST = 12
 #: Share of other documents from which on a passage is taken as ordinary; rounds of choosing passages; folds and positives to calibrate.
 COMMON, ROUNDS, FOLDS, ENOUGH = 0.004, 4, 3, 12
 #: Words and characters of a run that labels are counted for; how many times more often an abusive run stands in abusive documents.
@@ -48,7 +50,7 @@ GRAM, SIGN_GRAM, AGAINST = 4, 6, 5.0
 DEFAULT_THRESHOLD = 8.0
 CACHE = 300_000
 
-_MARKS = dict.fromkeys([*range(0x300, 0x370), *range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD, *range(0x202A, 0x202F)])
+_MARKS = re.compile("[\u0300-\u036f\u200b-\u200f\u2060\ufeff\u00ad\u202a-\u202e]+")
 _GLUE = re.compile(
     r"\\-|\\/|\{\}|\\(?:textbf|emph|textit|textsc|texttt|textrm|textsf|underline|uline|text|mbox)\{(?=[^{}]{0,400}\})|\\(?:bf|it|em|sc|tt|small|large)\b ?"
 )
@@ -59,7 +61,7 @@ _DROP = re.compile(
 _BREAK = re.compile(r"[.!?;:](?=[\s\"'})]|$)|[。！？；]|\\[a-z]+\*?(?:\[[^\]\n]*\])?|[{}%|>&\r]")
 _SWAP = re.compile(r"[@013$547!*|]+(?=[^\W\d_])")
 _SPACED = re.compile(r" [^\W\d_](?: [^\W\d_]){3,}(?= |$)")
-_RUN = re.compile(r"([^\W\d_])\1+")
+_RUN, _ASCII_RUN = re.compile(r"([^\W\d_])\1+"), re.compile(r"([a-z])\1+")
 #: Characters that stand for letters.
 _LOOK = str.maketrans({"@": "a", "0": "o", "1": "i", "3": "e", "$": "s", "5": "s", "4": "a", "7": "t", "!": "i", "|": "l", "*": None})
 _CYRILLIC = str.maketrans("аеорсухікмтнв", "aeopcyxikmthb")
@@ -75,7 +77,7 @@ def long_enough(passage: str) -> bool:
 def raw_passages(text: str) -> list[str]:
     """Passages of a text in lower case, markup that breaks words glued."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     return _BREAK.sub("\n", _GLUE.sub("", _DROP.sub(" ", text.lower()))).split("\n")
 
 
@@ -86,7 +88,7 @@ def deepen(raw: str) -> str:
     raw = _SWAP.sub(_swap, raw)
     plain = " " + " ".join(raw.translate(_PLAIN).split())
     plain = _SPACED.sub(lambda m: " " + m[0].replace(" ", ""), plain)
-    return _RUN.sub(r"\1", plain).strip()
+    return (_ASCII_RUN if plain.isascii() else _RUN).sub(r"\1", plain).strip()
 
 
 def _swap(m: re.Match) -> str:
@@ -193,13 +195,26 @@ def shingles(passage: str) -> list[str]:
     return [" ".join(words[i : i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))]
 
 
+def _gram_counts(documents: list[set]) -> Counter:
+    """Number of documents that hold each run of words."""
+    return Counter(g for d in documents for g in {g for w in d for g in shingles(w)})
+
+
+class Others:
+    """Counts over the documents without labels: of passages and of runs of words; ``common`` documents make either ordinary."""
+
+    def __init__(self, documents: list[set]):
+        self.passages, self.grams = Counter(w for d in documents for w in d), _gram_counts(documents)
+        self.common = max(5, COMMON * len(documents))
+
+
 class Evidence:
     """What the labels say about runs of words, by the share of documents of either label that hold them."""
 
-    def __init__(self, positive: list[set], negative: list[set], other: list[set]):
-        self.positive, self.negative, self.other = (Counter(g for d in docs for g in {g for w in d for g in shingles(w)}) for docs in (positive, negative, other))
+    def __init__(self, positive: list[set], negative: list[set], other: Others):
+        self.positive, self.negative, self.other = _gram_counts(positive), _gram_counts(negative), other.grams
         self.ratio = AGAINST * len(positive) / max(1, len(negative))
-        self.common = max(5, COMMON * len(other))
+        self.common = other.common
 
     def abusive(self, gram: str) -> bool:
         return self.positive[gram] >= 2 and self.positive[gram] >= self.ratio * self.negative[gram]
@@ -232,18 +247,17 @@ class Evidence:
         return ("" if unit else " ").join(parts[begin : begin + n]) if n >= (SIGN_GRAM if unit else 3) else ""
 
 
-def _fit(positive: list[set], negative: list[set], other: list[set]) -> Model:
+def _fit(positive: list[set], negative: list[set], other: Others) -> Model:
     """Dictionaries from the passages of labelled and other documents."""
     seeds, plain = [deepen(x.lower()) for x in ABUSIVE], [deepen(x.lower()) for x in ORDINARY]
     in_negative = Counter(w for d in negative for w in d)
-    in_other = Counter(w for d in other for w in d)
+    in_other, common = other.passages, other.common
     base = _base({**in_other, **in_negative} or plain)
     length, evidence = Coder(base), Evidence(positive, negative, other)
-    common = max(5, COMMON * len(other))
     #: Passages short under the base dictionary leave no room for a difference of CLEAR bytes.
     known = {w: length(w) for w in {*in_negative, *in_other}}
     ordinary = [w for w in sorted(known) if known[w] > CLEAR and (w in in_negative or in_other[w] >= common) and not evidence.disputed(w)]
-    rare = [w for w in sorted(known) if known[w] > CLEAR and w not in in_negative and in_other[w] < common]
+    rare = [w for w in sorted(known) if known[w] >= SURE + SHORTEST and w not in in_negative and in_other[w] < common]
     own = [{t for w in d if w not in in_negative and (t := evidence.trimmed(w))} for d in positive]
     bad, model = seeds, None
     for turn in range(ROUNDS):
@@ -263,7 +277,7 @@ def train(labelled: list[tuple[str, int]], other: list[str]) -> Model:
     """A model from (text, label) and further texts; its threshold has the best F1 on labels that a third of the model did not see."""
     cut = Passages()
     rows = [(set(cut(text)), label) for text, label in labelled]
-    rest = [set(cut(text)) for text in other]
+    rest = Others([set(cut(text)) for text in other])
     model = _fit([d for d, y in rows if y], [d for d, y in rows if not y], rest)
     positives = sum(y for _, y in rows)
     if positives < ENOUGH or positives == len(rows):
