@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockframe.plans.balance import Plan, make_plan, replicate, route
+from blockframe.plans.runtime import durable
 
 PARTIAL = "field string, key_value bigint, n bigint, v_sum double, v_n bigint, t_max bigint"
 
@@ -53,7 +54,7 @@ def key_statistics(df: DataFrame, keys: list[str], value: str, time: str, heavy_
     """
     total = df.count()
     long = unpivot_keys(df, keys, value, time)
-    states = long.mapInArrow(_partials, PARTIAL)
+    states = durable(long.mapInArrow(_partials, PARTIAL))  # read twice: for the plan and by it
     plan = make_plan(states.select("field", "key_value"), ["field", "key_value"], tasks)
     merged = [F.sum("n").alias("n"), F.sum("v_sum").alias("v_sum"), F.sum("v_n").alias("v_n"), F.max("t_max").alias("t_max")]
     in_task = route(states, ["field", "key_value"], plan).groupBy("__task", "field", "key_value").agg(*merged)
