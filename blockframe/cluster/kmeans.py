@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
 from blockframe.array import DsArray
 from blockframe.estimator import Estimator
 from blockframe.plans.index import stack, sum_states
-from blockframe.plans.runtime import durable
+from blockframe.plans.runtime import reused
 
 
 def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -38,10 +39,13 @@ class KMeans(Estimator):
         return centres.copy()
 
     def fit(self, x: DsArray, y=None) -> KMeans:
-        m, k = x.shape[1], self.n_clusters
-        centres, self.n_iter = self._start(m), 0
-        rows = durable(x.to_dense().df.select("features")) if self.max_iter > 1 else x.to_dense().df.select("features")
-        old = None
+        with reused(x.to_dense().df.select("features")) as rows:
+            self.centers = self._passes(rows, x.shape[1])
+        return self
+
+    def _passes(self, rows: DataFrame, m: int) -> np.ndarray:
+        k, centres, old = self.n_clusters, self._start(m), None
+        self.n_iter = 0
         while old is None or (self.n_iter < self.max_iter and np.sqrt(((centres - old) ** 2).sum(axis=1)).sum() >= self.tol**2):
 
             def state(parts: Iterator[pd.DataFrame], centres=centres) -> np.ndarray:
@@ -60,8 +64,7 @@ class KMeans(Estimator):
             centres = old.copy()
             centres[some] = sums[some, 1:] / sums[some, :1]
             self.n_iter += 1
-        self.centers = centres
-        return self
+        return centres
 
     def fit_predict(self, x: DsArray, y=None) -> DsArray:
         return self.fit(x).predict(x)

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
 from blockframe.array import DsArray
 from blockframe.cluster.kmeans import KMeans, nearest_centre
 from blockframe.estimator import Estimator
 from blockframe.plans.index import stack, sum_states
-from blockframe.plans.runtime import durable
+from blockframe.plans.runtime import reused
 
 TYPES = ("full", "tied", "diag", "spherical")
 
@@ -126,12 +127,18 @@ class GaussianMixture(Estimator):
         self.covariances_, self.precisions_cholesky_ = cov, precision_factor(cov, kind)
 
     def fit(self, x: DsArray, y=None) -> GaussianMixture:
-        n, d = x.shape
-        self._validate(d)
-        k, kind = self.n_components, self.covariance_type
+        self._validate(x.shape[1])
         #: Centring keeps sums of squares small against the variances; means are moved back at the end.
         shift = np.asarray(x.mean(0).collect(squeeze=False))[0]
-        rows = durable((x.to_dense() - shift).df)
+        with reused((x.to_dense() - shift).df) as rows:
+            self._passes(rows, x, shift)
+        self.means_ = self.means_ + shift
+        if self.check_convergence and not self.converged_:
+            warnings.warn(f"EM did not converge in {self.max_iter} passes", ConvergenceWarning, stacklevel=2)
+        return self
+
+    def _passes(self, rows: DataFrame, x: DsArray, shift: np.ndarray) -> None:
+        (n, d), k, kind = x.shape, self.n_components, self.covariance_type
         seed = 0 if self.random_state is None else self.random_state
         if self.init_params == "kmeans":
             centres = KMeans(k, random_state=self.random_state).fit(x).centers - shift
@@ -167,10 +174,6 @@ class GaussianMixture(Estimator):
             if self.check_convergence and abs(self.lower_bound_ - bound) < self.tol:
                 self.converged_ = True
                 break
-        self.means_ = self.means_ + shift
-        if self.check_convergence and not self.converged_:
-            warnings.warn(f"EM did not converge in {self.max_iter} passes", ConvergenceWarning, stacklevel=2)
-        return self
 
     def fit_predict(self, x: DsArray) -> DsArray:
         return self.fit(x).predict(x)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from blockframe.array import DsArray, array, session
 from blockframe.plans.index import ARITY, stack, sum_states
-from blockframe.plans.runtime import durable
+from blockframe.plans.runtime import durable, reused
 
 #: Values of a matrix that is broadcast, of a Gram matrix that is summed on the driver, and of a full Q that is built.
 BROADCAST_VALUES, GRAM_VALUES, FULL_VALUES = 4_000_000, 4_000_000, 16_000_000
@@ -109,18 +109,21 @@ def matmul(a: DsArray, b: DsArray, transpose_a: bool = False, transpose_b: bool
 
 
 def kron(a: DsArray, b: DsArray, block_size: tuple[int, int] | None = None) -> DsArray:
-    """Kronecker product of dense arrays: every row of ``a`` against every row of ``b``.
-
-    Its size is the product of both sizes, so one side is small in any use; that side is replicated.
-    """
+    """Kronecker product of dense arrays: every row of ``a`` against every row of ``b``, which is broadcast and so has a checked size."""
     if a.sparse or b.sparse:
         raise NotImplementedError("kron of sparse arrays")
-    n, m = b.shape
-    left = a.df.select(F.col("row_idx").alias("i"), F.col("features").alias("x"))
-    right = b.df.select(F.col("row_idx").alias("k"), F.col("features").alias("y"))
-    row = F.flatten(F.transform("x", lambda x: F.transform("y", lambda y: x * y)))
-    out = left.crossJoin(right).select((F.col("i") * n + F.col("k")).alias("row_idx"), row.alias("features"))
-    return DsArray(out, (a.shape[0] * n, a.shape[1] * m), False, block_size)
+    if b.shape[0] * b.shape[1] > BROADCAST_VALUES:
+        raise ValueError(f"{b.shape} is too large to broadcast")
+    (n, m), (h, w) = a.shape, b.shape
+    shared = session().sparkContext.broadcast(b.collect(squeeze=False))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for i, x in zip(p["row_idx"], p["features"], strict=True):
+                rows = np.kron(np.asarray(x, float).reshape(1, m), shared.value)
+                yield pd.DataFrame({"row_idx": np.arange(i * h, (i + 1) * h), "features": list(rows)})
+
+    return DsArray(a.df.mapInPandas(run, "row_idx bigint, features array<double>"), (n * h, m * w), False, block_size)
 
 
 def _signed_qr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +258,12 @@ def random_svd(a: DsArray, iters: int = 2, epsilon: float = 1e-3, tol: float = 1
     k = k or -(-nsv // block) * block
     _check_growth(nsv, k, block, m)
     rng = np.random.default_rng(random_state)
-    kept = a._new(durable(a.to_dense().df), sparse=False)
+    with reused(a.to_dense().df) as rows:
+        return _random_svd(a._new(rows, sparse=False), iters, epsilon, tol, nsv, k, block, rng)
+
+
+def _random_svd(kept: DsArray, iters: int, epsilon: float, tol: float, nsv: int, k: int, block: int, rng: np.random.Generator):
+    n, m = kept.shape
     while True:
         width = min(k, m)
         q = np.linalg.qr(rng.standard_normal((m, width)))[0]
@@ -273,7 +281,7 @@ def random_svd(a: DsArray, iters: int = 2, epsilon: float = 1e-3, tol: float = 1
         k, nsv = k + block, min(nsv + block, m)
     v = q @ wt.T
     sign = _fix_signs(v)
-    left = times(_q_factor(y, r), u * sign)
+    left = times(_q_factor(y._new(durable(y.df)), r), u * sign)
     return left[:, :nsv], array(s[:nsv].reshape(1, -1)), array((v * sign)[:, :nsv])
 
 
@@ -291,8 +299,15 @@ def lanczos_svd(a: DsArray, k: int, bs: int, rank: int, num_sv: int, tolerance:
         raise ValueError("k must exceed rank")
     if k % bs or rank % bs:
         raise ValueError("k and rank must be multiples of the block size")
-    kept = a._new(durable(a.to_dense().df), sparse=False)
-    rng = np.random.default_rng(random_state)
+    with reused(a.to_dense().df) as rows:
+        s, v = _lanczos(a._new(rows, sparse=False), k, bs, rank, num_sv, tolerance, epsilon, max_num_iterations, np.random.default_rng(random_state))
+    v = v * _fix_signs(v)
+    return times(a, v / np.maximum(s, 1e-300)), array(s.reshape(1, -1)), array(v)
+
+
+def _lanczos(kept: DsArray, k: int, bs: int, rank: int, num_sv: int, tolerance: float, epsilon: float, max_num_iterations: int, rng: np.random.Generator):
+    """Singular values and right vectors."""
+    n, m = kept.shape
     basis = np.linalg.qr(rng.standard_normal((m, min(bs, m))))[0]
     while True:
         s = v = None
@@ -315,9 +330,7 @@ def lanczos_svd(a: DsArray, k: int, bs: int, rank: int, num_sv: int, tolerance:
             break
         k, rank, num_sv = k + bs, rank + bs, min(num_sv + bs, m)
         basis = v[:, : min(rank, v.shape[1])]
-    v = v[:, :num_sv] * _fix_signs(v[:, :num_sv])
-    u = times(kept, v / np.maximum(s[:num_sv], 1e-300))
-    return u, array(s[:num_sv].reshape(1, -1)), array(v)
+    return s[:num_sv], v[:, :num_sv]
 
 
 __all__ = ["cross", "kron", "lanczos_svd", "matmul", "qr", "random_svd", "svd", "tile_matmul", "times", "tsqr"]

@@ -98,6 +98,20 @@ class NearestNeighbors(Estimator):
         return DsArray(rows.select(F.col("q").alias("row_idx"), F.transform("e", lambda e: F.sqrt(e["d2"])).alias("features")), (q.shape[0], k)), indices
 
 
+def pairwise_distances(a: DsArray, b: DsArray) -> DsArray:
+    """Euclidean distances of the rows of ``a`` to all rows of ``b``, which must be small enough to broadcast."""
+    if b.shape[0] * b.shape[1] > BROADCAST_VALUES:
+        raise ValueError(f"{b.shape} is too large to broadcast")
+    m, shared = a.shape[1], session().sparkContext.broadcast(b.collect(squeeze=False))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                yield pd.DataFrame({"row_idx": p["row_idx"], "features": list(np.sqrt(squared(stack(p["features"], m), shared.value)))})
+
+    return DsArray(a.to_dense().df.mapInPandas(run, "row_idx bigint, features array<double>"), (a.shape[0], b.shape[0]))
+
+
 def range_join(a: DataFrame, b: DataFrame, eps: float, dimensions: list[int] | None = None) -> DataFrame:
     """(i, j, d): rows i of ``a`` and j of ``b`` (row_idx, features) at most ``eps`` apart.
 

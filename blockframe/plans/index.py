@@ -28,8 +28,32 @@ def dense_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFrame:
         offsets[r["part"]], total = total, total + r["n"]
     if not offsets:
         return ordered.withColumn(name, F.col("__id")).drop("__id")
-    base = F.element_at(F.create_map(*[F.lit(v).cast("bigint") for pair in offsets.items() for v in pair]), part)
-    return ordered.withColumn(name, base + place).drop("__id")
+    starts = df.sparkSession.createDataFrame(list(offsets.items()), "__part bigint, __start bigint")  # a row per partition
+    return ordered.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + place).drop("__id", "__part", "__start")
+
+
+def cumulate(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, dict]:
+    """``df`` with running sums ``cum_*`` of ``columns`` in the order of its unique ``key``, and ``next``, the following key; and the totals.
+
+    Rows are range-partitioned; running sums and neighbours are windows within partitions, moved on by one row of offsets per partition.
+    """
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    ordered = durable(df.orderBy(key)).withColumn("__part", F.shiftright(F.monotonically_increasing_id(), 33))
+    parts = sorted(ordered.groupBy("__part").agg(F.min(key).alias("k"), *[F.sum(c).alias(c) for c in columns]).collect(), key=lambda r: r["__part"])
+    kind = {f.name: f.dataType.simpleString() for f in ordered.groupBy().agg(F.min(key).alias(key), *[F.sum(c).alias(c) for c in columns]).schema}
+    totals, starts = {c: 0.0 if kind[c] == "double" else 0 for c in columns}, []
+    for i, r in enumerate(parts):
+        starts.append((r["__part"], parts[i + 1]["k"] if i + 1 < len(parts) else None, *totals.values()))
+        totals = {c: totals[c] + (r[c] or 0) for c in columns}
+    offsets = spark.createDataFrame(starts, f"__part bigint, __next {kind[key]}, " + ", ".join(f"`__{c}` {kind[c]}" for c in columns))
+    w = Window.partitionBy("__part").orderBy(key)
+    out = ordered.join(F.broadcast(offsets), "__part")  # a row per partition
+    for c in columns:
+        out = out.withColumn(f"cum_{c}", F.sum(c).over(w) + F.col(f"__{c}"))
+    out = out.withColumn("next", F.coalesce(F.lead(key).over(w), "__next"))
+    return out.drop("__part", "__next", *[f"__{c}" for c in columns]), totals
 
 
 def sum_states(df: DataFrame, state: Callable[[Iterator[pd.DataFrame]], np.ndarray], length: int) -> np.ndarray:

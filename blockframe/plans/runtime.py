@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,6 +41,16 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+@contextmanager
+def reused(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept in memory and on local disks while a loop reads it; lost parts are computed again from its plan."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     """Number of tasks of a shuffle, as configured."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

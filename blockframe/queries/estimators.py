@@ -17,7 +17,7 @@ from blockframe.decomposition import PCA, covariance
 from blockframe.functions.reductions import by_column
 from blockframe.model_selection import GridSearchCV
 from blockframe.nn import DistributedTraining, Mlp
-from blockframe.operators.proximity import NearestNeighbors, range_join
+from blockframe.operators.proximity import NearestNeighbors, pairwise_distances, range_join
 from blockframe.plans.runtime import table
 from blockframe.preprocessing import MinMaxScaler, StandardScaler
 from blockframe.queries.arrays import embeddings, labels, libsvm, long
@@ -110,10 +110,7 @@ def _dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _supplier_distances(spark: SparkSession, sf_dir: str) -> A.DsArray:
     x = suppliers(spark, sf_dir)
-    a, b = x.df.select(F.col("row_idx").alias("i"), F.col("features").alias("p")), x.df.select(F.col("row_idx").alias("j"), F.col("features").alias("q"))
-    d = F.sqrt(F.aggregate(F.zip_with("p", "q", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
-    rows = a.crossJoin(F.broadcast(b)).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", d.alias("d")))), lambda e: e["d"]).alias("features"))
-    return A.DsArray(rows.withColumnRenamed("i", "row_idx"), (x.shape[0], x.shape[0]))
+    return pairwise_distances(x, x)
 
 
 def _daura(spark: SparkSession, sf_dir: str) -> DataFrame:

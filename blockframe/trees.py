@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from blockframe.array import DsArray
 from blockframe.classification.knn import accuracy
 from blockframe.estimator import Estimator
+from blockframe.plans.index import cumulate
 from blockframe.regression import r2_score
 
 #: The deepest tree and the most bins of the engine.
 DEEPEST, MOST_BINS = 30, 4096
+MOST_CLASSES = 1000
 
 
 def resolve_try_features(try_features, n_features: int) -> int:
@@ -162,24 +164,20 @@ class DecisionTreeRegressor(_Trees):
 def best_split(df: DataFrame, value: str, label: str, classes: bool = True) -> DataFrame:
     """(threshold, score): the exact best binary split of one feature, for class labels or for numbers.
 
-    Cumulative statistics over distinct values, so equal values stay together; the score is the negative sum over both sides of
-    squared class counts (or squared sums) over rows. Distinct values are range-partitioned and cumulated with one offset per partition.
+    Running statistics over distinct values, so equal values stay together; the score is the negative sum over both sides of
+    squared class counts (or squared sums) over rows, and the largest of equally good thresholds is taken.
     """
-    from pyspark.sql import Window
-
     if classes:
-        cells = df.groupBy(F.col(value).alias("x"), F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("k"))
-        totals = df.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("t"))
-        grid = cells.select("x").distinct().crossJoin(F.broadcast(totals)).join(cells, ["x", "c"], "left").fillna(0, ["k"])
-        run = F.sum("k").over(Window.partitionBy("c").orderBy("x"))
-        side = grid.select("x", "c", "t", run.alias("l"))
-        sums = side.groupBy("x").agg(F.sum("l").alias("nl"), F.sum(F.col("t") - F.col("l")).alias("nr"), F.sum(F.col("l") * F.col("l")).alias("a"), F.sum((F.col("t") - F.col("l")) ** 2).alias("b"))
+        labels = [r[0] for r in df.select(label).distinct().limit(MOST_CLASSES + 1).collect()]
+        if len(labels) > MOST_CLASSES:
+            raise ValueError(f"more than {MOST_CLASSES} classes")
+        sums = [F.count(F.when(F.col(label).eqNullSafe(F.lit(c)), 1)).alias(f"s{k}") for k, c in enumerate(labels)]
     else:
-        cells = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("k"), F.sum(label).alias("s"))
-        w, every = Window.orderBy("x"), Window.partitionBy()
-        side = cells.select("x", F.sum("k").over(w).alias("nl"), F.sum("s").over(w).alias("l"), F.sum("k").over(every).alias("n"), F.sum("s").over(every).alias("t"))
-        sums = side.select("x", "nl", (F.col("n") - F.col("nl")).alias("nr"), (F.col("l") ** 2).alias("a"), ((F.col("t") - F.col("l")) ** 2).alias("b"))
-    following = F.lead("x").over(Window.orderBy("x"))
-    scored = sums.withColumn("next", following).filter("nr > 0")
-    score = -(F.col("a") / F.col("nl") + F.col("b") / F.col("nr"))
-    return scored.select(((F.col("x") + F.col("next")) / 2).alias("threshold"), score.alias("score")).orderBy("score", F.desc("threshold")).limit(1)
+        labels, sums = [None], [F.sum(F.col(label).cast("double")).alias("s0")]
+    cells = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    names = [f"s{k}" for k in range(len(labels))]
+    running, totals = cumulate(cells, "x", ["n", *names])
+    left, right = (sum((f(c) ** 2 for c in names), F.lit(0.0)) for f in (lambda c: F.col(f"cum_{c}"), lambda c: F.lit(totals[c]) - F.col(f"cum_{c}")))
+    score = -(left / F.col("cum_n") + right / F.when(F.lit(totals["n"]) > F.col("cum_n"), F.lit(totals["n"]) - F.col("cum_n")))
+    scored = running.filter(F.col("next").isNotNull()).select(((F.col("x") + F.col("next")) / 2).alias("threshold"), score.alias("score"))
+    return scored.orderBy("score", F.desc("threshold")).limit(1)
