@@ -41,6 +41,8 @@ SIGNS = 16
 BASE_BYTES, OWN_BYTES = 64_000, 100_000
 #: Scores: of an ordinary passage that may be confused, of the chosen passage of a labelled document, of one learned without a label.
 CONFUSED, CLEAR, SURE = 2, 5, 12
+#: Words from which on a passage of an abusive document is chosen at CONFUSED, if none of its runs of words is ordinary.
+UNUSUAL = 6
 #: No passage is shorter than this under any of the dictionaries, with a margin of several bytes.
 SHORTEST = 12
 #: Share of other documents from which on a passage is taken as ordinary; rounds of choosing passages; folds and positives to calibrate.
@@ -268,7 +270,7 @@ def _fit(positive: list[set], negative: list[set], other: Others) -> Model:
         chosen = []
         for d in own:
             found = sorted(map(model.best, d), key=lambda x: (-x[0], x[1]))
-            chosen += [w for score, w in found if score >= CLEAR][:4]
+            chosen += [w for score, w in found if score >= CLEAR or (score >= CONFUSED and len(w.split(" ")) >= UNUSUAL)][:4]
         taught = [t for found in map(model.best, rare) if found[0] >= SURE and (t := evidence.trimmed(found[1]))] if turn else []
         bad = list(dict.fromkeys(seeds + chosen + taught))
     return Model(_with(base, good), _with(base, bad))

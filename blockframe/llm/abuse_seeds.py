@@ -1,163 +1,182 @@
-"""Seed passages for the two dictionaries of :mod:`blockframe.llm.abuse`, by language.
+"""Seed passages for the two dictionaries of :mod:`blockframe.llm.abuse`.
 
-They state the notion of the classes, insult, threat, degradation of groups and sexual explicitness about persons on one side,
-specialist or neutral uses of the same words and criticism of work on the other. Everything else is learned from labels.
+Common insults, threats, slurs against groups and sexual phrases of six languages on one side; scientific uses of loaded words,
+neutral mentions of groups and criticism of work on the other. They are general; what is special to a corpus is learned from labels.
 """
 
 ABUSIVE = """
-you are a worthless piece of shit and everyone knows it
-you stupid fucking idiot, learn to read before you open your mouth
-shut the fuck up you pathetic loser
-shut up you useless moron
-go to hell you miserable bastard
-go fuck yourself, you disgusting pig
-kill yourself, nobody would miss you
-nobody wants you here, crawl back under your rock
-what a lazy incompetent asshole he is
-she is a dirty whore and a slut
-that stupid bitch should be fired
-he is a lying scumbag and a brainless cretin
-only a complete moron could write such garbage
-only a retard like you could believe this
-the referee is a spineless imbecile and a jackass
-the editor is a corrupt piece of human garbage
-my adviser is a dumbass and a fuckwit
-i hope you die in pain
-i will kill you and your family
-i will find you and break your legs
-i know where you live and i will hurt you
-we are going to beat you until you bleed
-watch your back, you will pay for this with blood
-someone should shoot him in the head
-i will burn your house down with you inside
-they deserve to be hanged, all of them
-if you say that again i will cut your throat
-you will be sorry when we come for you
-fuck you and fuck your paper
-fuck this and fuck them all
-shove it up your ass
-i hate immigrants, all of them, they are vermin
-foreigners are parasites and should be thrown out
-refugees are rats, send them back where they came from
-women are too stupid for mathematics and belong in the kitchen
-gays are disgusting animals and should be wiped out
-disabled people are a burden and should not be allowed to live
-old people are useless human waste
-those people are subhuman and have no rights
-that religion is a plague, its people stink and steal and breed like cockroaches
-black people are inferior and dumb
-jews and muslims are a disease and must be driven out
-the poor are lazy scum, lock them all up
-they should all be exterminated like insects
-i want to fuck you all night
-i want you naked in my bed tonight
-suck my cock and swallow
-take off your clothes and show me your tits
-spread your legs so i can lick your wet pussy
-she moaned as he thrust his hard cock into her
-his penis slid deep inside her while she screamed with pleasure
-send me nude pictures, i am so horny for you
-i get hard when i look at her ass and breasts
-he came all over her face
-touch me there, baby, make me come
-her nipples were stiff and she was dripping wet
-du bist ein wertloses stück scheiße
-halt die fresse du dummes arschloch
-der herausgeber ist ein erbärmlicher idiot
-ich bringe dich um und deine familie auch
-ich weiß wo du wohnst, pass auf dich auf
-fick dich, du hurensohn
-ausländer sind ungeziefer und gehören abgeschoben
-frauen sind dumm und gehören an den herd
-flüchtlinge sind parasiten, raus mit ihnen
-ich will dich nackt in meinem bett, ich bin so geil auf dich
-zeig mir deine nassen titten und deine muschi
-tu es une grosse merde, un pauvre con
-ferme ta gueule espèce de salaud
-le rédacteur est un imbécile et un connard
-je vais te tuer, je sais où tu habites
-va te faire foutre, fils de pute
-les étrangers sont de la vermine, il faut les chasser
-les femmes sont trop bêtes, qu'elles retournent à la cuisine
-les réfugiés sont des parasites et des rats
-je veux te voir nue dans mon lit, tu me fais bander
-montre moi tes seins et ton cul, salope
-eres una mierda, un idiota inútil y asqueroso
-cállate la boca, cabrón de mierda
-el editor es un imbécil y un hijo de puta
-te voy a matar, sé dónde vives
-vete a la mierda, maldito cerdo
-los extranjeros son basura y hay que echarlos
-las mujeres son estúpidas, que vuelvan a la cocina
-los inmigrantes son alimañas y ratas
-te quiero desnuda en mi cama, estoy cachondo
-enséñame las tetas y el culo, puta
-ты тупой ублюдок и ничтожество
-заткнись, жалкий идиот, пошёл вон
-редактор дурак и сволочь
-я тебя убью, я знаю где ты живёшь
-иди на хуй, сука, мразь
-иностранцы паразиты, гнать их всех отсюда
-женщины тупые твари, их место на кухне
-беженцы крысы и отбросы
-хочу тебя голую в моей постели
-покажи мне свои сиськи, шлюха
-你是个没用的废物,去死吧
-闭嘴,你这个白痴,蠢猪
-编辑是个混蛋,脑子有病
-我要杀了你全家,我知道你住在哪里
-操你妈,滚开,贱人
-外国人都是害虫,应该滚出去
-女人都很蠢,不配做研究
-难民都是寄生虫和垃圾
-我想要你脱光衣服上我的床
-给我看你的胸,骚货
+fuck you
+fuck off and die
+go fuck yourself
+what the fuck is wrong with you
+shut the fuck up
+shut your mouth
+you piece of shit
+you stupid idiot
+you fucking moron
+you dumb bastard
+you pathetic loser
+you filthy pig
+you useless cretin
+you are retarded
+you make me sick, you ugly freak
+son of a bitch
+stupid bitch
+dirty whore
+she is a slut
+he is an asshole and a liar
+they are a bunch of morons and imbeciles
+what a miserable scumbag
+a spineless jackass and a brainless halfwit
+i hope you get cancer and die
+kill yourself
+i will kill you
+i will kill him with my own hands
+we will hurt your family
+you are dead if i see you again
+someone should shoot them
+he deserves a bullet in the head
+i want to smash your face
+i will beat you up
+hang them all
+i hate those people
+they are vermin and parasites
+filthy immigrants get out of our country
+foreigners are criminals, deport them all
+refugees are scum
+women are inferior and stupid
+gays are sick perverts
+black people are animals
+jews are to blame for everything
+muslims are terrorists, kick them out
+disabled people are a burden
+old people should just die already
+that race is subhuman garbage
+i want to fuck you
+suck my dick
+show me your tits
+her wet pussy
+his hard cock
+i want to see you naked
+send me nudes
+i am so horny
+spread your legs
+he fucked her from behind
+she moaned with pleasure
+lick my balls
+nice ass, i would do her
+du arschloch
+du bist ein idiot
+du dummes schwein
+halt die fresse
+halt dein maul
+fick dich
+du hurensohn
+verpiss dich
+ich bringe dich um
+ich schlage dich tot
+ausländer raus
+sie sind ungeziefer
+frauen sind dumm
+ich will dich ficken
+zeig mir deine titten
+ich bin geil auf dich
+connard
+ta gueule
+ferme ta gueule
+va te faire foutre
+fils de pute
+espèce d'idiot
+pauvre imbécile
+sale con
+je vais te tuer
+je vais te casser la gueule
+sales étrangers, rentrez chez vous
+ce sont des parasites et de la vermine
+les femmes sont stupides
+je veux te baiser
+montre tes seins
+suce ma bite
+hijo de puta
+eres un idiota
+cállate, imbécil
+vete a la mierda
+que te jodan
+cabrón asqueroso
+te voy a matar
+te voy a romper la cara
+fuera los inmigrantes
+son parásitos y basura
+las mujeres son tontas
+quiero follarte
+enséñame las tetas
+chúpame la polla
+пошёл на хуй
+иди в жопу
+заткнись
+ты идиот
+тупой ублюдок
+сука
+мразь
+дебил
+я тебя убью
+валите отсюда
+они паразиты и твари
+бабы дуры
+хочу тебя трахнуть
+покажи сиськи
+操你妈
+去死吧
+闭嘴
+你这个白痴
+蠢货
+混蛋
+贱人
+滚出去
+废物
+我要杀了你
+我要打死你
+外国人滚出去
+他们是害虫
+女人都很蠢
+我想操你
+给我看你的奶子
+骚货
 """.strip().split("\n")
 
 ORDINARY = """
-this proof is wrong and the estimate is useless as it stands
-our own earlier argument was embarrassingly bad and has been replaced
-the reviewer is right that the bound is weak
-the editor kindly extended the deadline
-the stupid backoff scheme smooths the counts
-the process kills its child and the master polls the slaves
-brute force attacks on the cipher fail
-the dead neuron is cut from the network
-the killing vector field and the naked singularity
-the parasite load of the vermin was counted in traps
-naked mole rats and nude mice were kept in cages
-breast and prostate cancer samples were stained
-sexual reproduction and mating were observed in the field
-the intercourse frequency was taken from a survey on contraception
-immigrants and refugees were interviewed with their consent
-women and men were recruited in equal numbers
-old people slept longer than the controls
-disabled participants were offered support
-we remove hateful and toxic posts with a classifier
-the retarded potential and the screw dislocation
-garbage collection frees the worthless objects
-penetration depth and thrust of the probe
-the victim cache and the attacker model
-dirty data and dumb terminals
-der beweis ist falsch und unbrauchbar
-die geschlechtsreife setzt nach einigen tagen ein
-das ungeziefer wurde in fallen gezählt
-die nackte singularität und die dumme schranke
-die frauen und männer der studie wurden befragt
-cette preuve est fausse et inutile
-la reproduction sexuée dure quelques jours
-la singularité nue est exclue
-les femmes et les hommes de l'étude ont été interrogés
-esta prueba es falsa e inútil
-la reproducción sexual dura varios días
-la basura orgánica se pesó varias veces
-las mujeres y los hombres del estudio fueron entrevistados
-это доказательство неверно и бесполезно
-половое размножение длится несколько дней
-женщины и мужчины были опрошены
-паразиты были подсчитаны
-这个证明是错误的,没有用
-有性生殖持续几天
-害虫的数量已统计
-女性和男性参与者人数相等
+visible to the naked eye
+sexual selection shapes plumage
+the virus attacks the host cell
+brute force search is infeasible
+the dead time of the detector
+shot noise dominates the signal
+suicide rates declined in the region
+rape seed oil was extracted
+cock and hen weights were recorded
+the bitch and her puppies were vaccinated
+the assumption is poor and the result is misleading
+the criticism of the referee is justified
+our previous analysis contained a serious error
+this argument fails and the figure is useless
+the editor extended the deadline
+ethnic minorities were oversampled
+pregnant women were excluded
+patients with disabilities were included
+religious affiliation was recorded
+the master clock drives the slave clock
+toxic comments were removed from the corpus
+mit bloßem auge sichtbar
+der beweis enthält einen fehler
+die frauen der kontrollgruppe
+visible à l'œil nu
+la preuve contient une erreur
+les femmes du groupe témoin
+visible a simple vista
+la prueba contiene un error
+las mujeres del grupo de control
+доказательство содержит ошибку
+женщины контрольной группы
+证明中有错误
+对照组的女性
 """.strip().split("\n")
