@@ -502,6 +502,17 @@ def pad(a: DsArray, widths: tuple[tuple[int, int], tuple[int, int]], constant_va
     return DsArray(inner.unionByName(outer), (n + top + bottom, m + left + right), False, a.block_size)
 
 
+def bottom_right_shape(a: DsArray) -> tuple[int, int]:
+    """Shape of the last block of the block hint."""
+    return tuple(n - (-(-n // h) - 1) * h for n, h in zip(a.shape, a.block_size, strict=True))
+
+
+def pad_last_blocks_with_zeros(a: DsArray) -> DsArray:
+    """Zeros below and to the right up to whole blocks."""
+    (h, w), (n, m) = a.block_size, a.shape
+    return pad(a, ((0, -n % h), (0, -m % w)))
+
+
 def remove_last_rows(a: DsArray, k: int) -> DsArray:
     return a[: a.shape[0] - k]
 

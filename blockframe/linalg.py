@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockframe.array import DsArray, array, session
-from blockframe.plans.index import ARITY, stack, sum_states
+from blockframe.plans.index import ARITY, DRIVER_VALUES, reduce_partitions, stack, sum_states
 from blockframe.plans.runtime import durable, reused
 
 #: Values of a matrix that is broadcast, of a Gram matrix that is summed on the driver, and of a full Q that is built.
@@ -133,21 +133,19 @@ def _signed_qr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _r_factor(a: DsArray) -> np.ndarray:
-    """R of a tall array: local R of each partition, then of stacks of ``ARITY`` of them, until one is left."""
+    """R of a tall array: the R of each partition, of stacks of them over executors, and of the few stacks that are left."""
     m = a.shape[1]
 
     def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = np.zeros((0, m))
         for p in parts:
             r = np.linalg.qr(np.vstack([r, stack(p["features"], m)]), mode="r")
-        yield pd.DataFrame({"x": list(r)})
+        if len(r):
+            yield pd.DataFrame({"features": list(r)})
 
-    def merge(_: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"x": list(np.linalg.qr(stack(p["x"], m), mode="r"))})
-
-    rows = a.to_dense().df.mapInPandas(local, "x array<double>").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(ARITY)))
-    rows = rows.groupBy("g").applyInPandas(merge, "x array<double>").collect()
-    r = np.linalg.qr(np.vstack([np.zeros((0, m)), *[np.array([x["x"]], float) for x in rows]]), mode="r")
+    arity = max(1, min(ARITY, DRIVER_VALUES // max(1, m * m)))
+    rows = reduce_partitions(a.to_dense().df.select("features").mapInPandas(local, "features array<double>"), local, "features array<double>", arity).collect()
+    r = np.linalg.qr(np.vstack([np.zeros((0, m)), *[np.array([x["features"]], float) for x in rows]]), mode="r")
     r = np.vstack([r, np.zeros((max(0, m - len(r)), m))])
     return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 

@@ -178,3 +178,10 @@ class DistributedTraining:
                     yield pd.DataFrame({"row_idx": p["row_idx"], "features": list(net.forward(net.weights, stack(p["features"], m))[-1])})
 
         return DsArray(x.to_dense().df.mapInPandas(run, "row_idx bigint, features array<double>"), (x.shape[0], width))
+
+
+def average_parameters(workers: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The mean of every weight tensor over workers."""
+    if not workers:
+        raise ValueError("no workers to average")
+    return [np.mean(np.stack(tensors), axis=0) for tensors in zip(*workers, strict=True)]

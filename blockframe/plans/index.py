@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.plans.runtime import durable
+from blockframe.plans.runtime import durable, shuffle_tasks
 
-ARITY = 32
+ARITY, DRIVER_VALUES = 32, 8_000_000
 
 
 def dense_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFrame:
@@ -56,17 +56,36 @@ def cumulate(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, di
     return out.drop("__part", "__next", *[f"__{c}" for c in columns]), totals
 
 
+def reduce_partitions(df: DataFrame, merge: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, arity: int) -> DataFrame:
+    """Merge the rows of all partitions into at most ``arity`` ones, in two levels where there are more shuffle tasks than that.
+
+    ``merge`` sees a partition as a stream of batches, so its memory does not grow with the number of partitions.
+    """
+    tasks = shuffle_tasks(df.sparkSession)
+    for n in ([tasks] if tasks > arity else []) + [arity]:
+        df = df.repartitionById(n, F.pmod(F.spark_partition_id(), F.lit(n))).mapInPandas(merge, schema)
+    return df
+
+
 def sum_states(df: DataFrame, state: Callable[[Iterator[pd.DataFrame]], np.ndarray], length: int) -> np.ndarray:
-    """Sum over partitions of ``state`` (a vector of ``length``), reduced in two levels so the driver gets at most ``ARITY`` of them."""
+    """Sum over partitions of ``state`` (a vector of ``length``).
+
+    The driver gets at most ``ARITY`` vectors, and fewer where they are long: ``DRIVER_VALUES`` values in all, or one vector.
+    """
+    arity = max(1, min(ARITY, DRIVER_VALUES // max(1, length)))
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"s": [np.asarray(state(parts), float).ravel()]})
 
-    def add(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [np.sum(np.stack(part["s"].to_list()), axis=0)]})
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for p in parts:
+            for s in p["s"]:
+                total = np.array(s, float) if total is None else total + s
+        if total is not None:
+            yield pd.DataFrame({"s": [total]})
 
-    states = df.mapInPandas(partial, "s array<double>").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(ARITY)))
-    rows = states.groupBy("g").applyInPandas(add, "s array<double>").collect()
+    rows = reduce_partitions(df.mapInPandas(partial, "s array<double>"), add, "s array<double>", arity).collect()
     return np.sum([np.array(r["s"], float) for r in rows], axis=0) if rows else np.zeros(length)
 
 

@@ -145,3 +145,12 @@ def test_entries_with_nulls_and_repeats(spark):
 def test_conjugate(spark):
     df = spark.createDataFrame([((1.0, 2.0),)], "z struct<re: double, im: double>").select(elementwise.conj(F.col("z")).alias("z"))
     assert tuple(df.first()["z"]) == (1.0, -2.0)
+
+
+def test_blocks_are_filled(spark):
+    x = np.arange(35.0).reshape(7, 5)
+    a = A.DsArray(A.array(x).df, x.shape, False, (3, 2))
+    assert A.bottom_right_shape(a) == (1, 1)
+    whole = A.pad_last_blocks_with_zeros(a)
+    assert whole.shape == (9, 6) and A.bottom_right_shape(whole) == (3, 2)
+    same(A.remove_last_columns(A.remove_last_rows(whole, 2), 1), x)

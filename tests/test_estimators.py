@@ -10,13 +10,13 @@ from blockframe.cluster.mixture import ConvergenceWarning
 from blockframe.decomposition import PCA
 from blockframe.estimator import NotFitted
 from blockframe.model_selection import GridSearchCV, RandomizedSearchCV, SimulationGridSearch, infer_cv, parameter_grid, rank_min
-from blockframe.nn import DEFAULTS, DistributedTraining, Mlp
+from blockframe.nn import DEFAULTS, DistributedTraining, Mlp, average_parameters
 from blockframe.operators.ordering import KFold, TeraSort, quantile_points, shuffle, train_test_split
 from blockframe.operators.proximity import NearestNeighbors, range_join
 from blockframe.preprocessing import MinMaxScaler, StandardScaler
 from blockframe.recommendation import ALS
 from blockframe.regression import Lasso, LinearRegression
-from blockframe.trees import DecisionTreeClassifier, DecisionTreeRegressor, RandomForestClassifier, RandomForestRegressor, resolve_split_points, resolve_try_features
+from blockframe.trees import DecisionTreeClassifier, DecisionTreeRegressor, RandomForestClassifier, RandomForestRegressor, best_split, resolve_split_points, resolve_try_features
 
 
 def got(a):
@@ -307,3 +307,27 @@ def test_networks(spark, blobs):
     with pytest.raises(ValueError):
         DistributedTraining(2).build(net, "newton")
     assert math.isfinite(loss(net.weights))
+
+
+def test_average_and_splits(spark):
+    mean = average_parameters([[np.ones((2, 2)), np.zeros(2)], [np.full((2, 2), 3.0), np.ones(2)]])
+    assert (mean[0] == 2).all() and (mean[1] == 0.5).all()
+    with pytest.raises(ValueError):
+        average_parameters([])
+    r = np.random.default_rng(5)
+    rows = [(float(r.integers(0, 9)), "ab"[int(r.integers(0, 2))], float(r.normal())) for _ in range(200)]
+    df = spark.createDataFrame(rows, "x double, c string, y double").repartition(5)
+    values = sorted({v for v, _, _ in rows})
+    for classes in (True, False):
+        best = []
+        for a, b in zip(values, values[1:], strict=False):
+            score = 0.0
+            for side in ([v for v in rows if v[0] <= a], [v for v in rows if v[0] >= b]):
+                if classes:
+                    score -= sum(sum(v[1] == c for v in side) ** 2 for c in "ab") / len(side)
+                else:
+                    score -= sum(v[2] for v in side) ** 2 / len(side)
+            best.append((score, -(a + b) / 2))
+        found = best_split(df, "x", "c" if classes else "y", classes).first()
+        assert (found.score, -found.threshold) == pytest.approx(min(best))
+    assert best_split(df.limit(0), "x", "c").count() == 0
