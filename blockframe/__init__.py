@@ -10,7 +10,7 @@ import importlib
 __version__ = "0.1.0"
 
 _WHERE = {
-    "blockframe.array": "DsArray apply_along_axis apply_elementwise array concat_columns concat_rows eye from_entries from_rows full identity load_blocks_rechunk matadd matsubtract pad random_array zeros",
+    "blockframe.dsarray": "DsArray apply_along_axis apply_elementwise array concat_columns concat_rows eye from_entries from_rows full identity load_blocks_rechunk matadd matsubtract pad random_array zeros",
     "blockframe.functions.elementwise": "exp gammaln log",
     "blockframe.linalg": "kron lanczos_svd matmul qr random_svd svd tsqr",
     "blockframe.sources.readers": "load_hstack_npy_files load_mdcrd_file load_npy_file load_npy_files load_svmlight_file load_txt_file",

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray
+from blockframe.dsarray import DsArray
 from blockframe.estimator import Estimator
 from blockframe.operators.proximity import top_k
 
@@ -73,7 +73,7 @@ class KNeighborsClassifier(Estimator):
 
     @classmethod
     def load_model(cls, path: str, load_format: str = "json"):
-        from blockframe.array import from_rows, session
+        from blockframe.dsarray import from_rows, session
 
         out = super().load_model(path, load_format)
         out._x, out._y = (from_rows(session().read.parquet(f"{path}.{n}"), "row_idx", "features") for n in "xy")

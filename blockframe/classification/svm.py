@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray
+from blockframe.dsarray import DsArray
 from blockframe.classification.knn import accuracy
 from blockframe.estimator import Estimator
 from blockframe.plans.index import stack

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray
+from blockframe.dsarray import DsArray
 from blockframe.estimator import Estimator
 from blockframe.plans.runtime import durable
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray
+from blockframe.dsarray import DsArray
 from blockframe.estimator import Estimator
 from blockframe.operators.proximity import CHUNK, squared
 from blockframe.plans.graph import components, contract

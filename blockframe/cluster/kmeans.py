@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from blockframe.array import DsArray
+from blockframe.dsarray import DsArray
 from blockframe.estimator import Estimator
 from blockframe.plans.index import stack, sum_states
 from blockframe.plans.runtime import reused

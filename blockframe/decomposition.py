@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-from blockframe.array import DsArray, array
+from blockframe.dsarray import DsArray, array
 from blockframe.estimator import Estimator
 from blockframe.linalg import lanczos_svd, qr, random_svd, svd, times, tsqr
 from blockframe.plans.index import stack, sum_states

@@ -10,7 +10,7 @@ import pickle
 
 import numpy as np
 
-from blockframe.array import DsArray, array
+from blockframe.dsarray import DsArray, array
 
 
 class NotFitted(Exception):

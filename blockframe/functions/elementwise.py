@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray, apply_elementwise
+from blockframe.dsarray import DsArray, apply_elementwise
 
 
 def exp(a: DsArray) -> DsArray:

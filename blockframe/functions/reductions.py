@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blockframe.array import WIDE, DsArray
+from blockframe.dsarray import WIDE, DsArray
 
 _AGGREGATES = {
     "min": F.min,

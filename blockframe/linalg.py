@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray, array, session
+from blockframe.dsarray import DsArray, array, session
 from blockframe.plans.index import ARITY, DRIVER_VALUES, reduce_partitions, stack, sum_states
 from blockframe.plans.runtime import durable, reused
 

@@ -159,7 +159,7 @@ class SimulationGridSearch:
         candidates = parameter_grid(self.param_grid)
         jobs = [p for p in candidates for _ in range(self.sim_number)]
         if x is None:
-            from blockframe.array import session
+            from blockframe.dsarray import session
 
             function = self.estimator
             results = session().sparkContext.parallelize(jobs, max(1, len(jobs))).map(lambda p: float(function(**p))).collect()

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray
+from blockframe.dsarray import DsArray
 from blockframe.plans.index import dense_index
 
 #: Fixed values of the multiplicative hash; products of two values below them stay within a BIGINT.

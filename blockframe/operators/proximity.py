@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray, session
+from blockframe.dsarray import DsArray, session
 from blockframe.estimator import Estimator
 from blockframe.linalg import BROADCAST_VALUES
 from blockframe.plans.index import stack

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray
+from blockframe.dsarray import DsArray
 from blockframe.estimator import Estimator
 from blockframe.plans.index import stack
 from blockframe.plans.runtime import durable

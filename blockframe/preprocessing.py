@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray, _lit_array, array
+from blockframe.dsarray import DsArray, _lit_array, array
 from blockframe.estimator import Estimator
 from blockframe.functions.reductions import by_column
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe import array as A
+from blockframe import dsarray as A
 from blockframe import linalg
 from blockframe.functions import elementwise
 from blockframe.operators.ordering import KFold, TeraSort, shuffle, train_test_split

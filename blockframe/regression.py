@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from blockframe.array import DsArray, array, concat_columns, full
+from blockframe.dsarray import DsArray, array, concat_columns, full
 from blockframe.estimator import Estimator
 from blockframe.linalg import cross, times
 from blockframe.optimization import ADMM

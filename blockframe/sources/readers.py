@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray, _check_blocks, concat_columns, session
+from blockframe.dsarray import DsArray, _check_blocks, concat_columns, session
 from blockframe.plans.index import dense_index
 
 #: Values of each line, values of each field and their width in the trajectory format (fixed values).

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from blockframe.array import DsArray, from_rows
+from blockframe.dsarray import DsArray, from_rows
 
 
 def apply_to_stream(stream: DataFrame, row_idx: str, features, n_cols: int, method) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray, session
+from blockframe.dsarray import DsArray, session
 from blockframe.operators.ordering import hash_order
 from blockframe.plans.index import dense_index, stack
 

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.array import DsArray
+from blockframe.dsarray import DsArray
 from blockframe.classification.knn import accuracy
 from blockframe.estimator import Estimator
 from blockframe.plans.index import cumulate

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockframe import array as A
+from blockframe import dsarray as A
 from blockframe.functions import elementwise
 from blockframe.functions.elementwise import exp, gammaln, log
 

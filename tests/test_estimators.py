@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from blockframe import array as A
+from blockframe import dsarray as A
 from blockframe.classification import CascadeSVM, KNeighborsClassifier
 from blockframe.cluster import DBSCAN, Daura, GaussianMixture, KMeans
 from blockframe.cluster.mixture import ConvergenceWarning

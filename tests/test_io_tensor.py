@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from blockframe import array as A
+from blockframe import dsarray as A
 from blockframe import tensor as T
 from blockframe.sources.readers import load_hstack_npy_files, load_mdcrd_file, load_npy_file, load_npy_files, load_svmlight_file, load_txt_file
 from blockframe.sources.writers import save_npy_file, save_txt

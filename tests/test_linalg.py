@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from blockframe import array as A
+from blockframe import dsarray as A
 from blockframe import linalg as L
 
 
