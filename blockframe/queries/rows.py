@@ -46,7 +46,7 @@ def p4_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = key_statistics(ratings, ["c0", "c1"], "c2", "c3").select("field", "key_value", "mean_value")
     rows = unpivot_keys(ratings, ["c0", "c1"], "c2", "c3").select("field", "key_value", "v").filter("v IS NOT NULL")
     joined = fragment_replicate_join(rows, means, ["field", "key_value"])
-    return joined.groupBy("field", "key_value").agg(F.round(F.avg(F.abs(F.col("v") - F.col("mean_value"))), 6).alias("spread"))
+    return joined.groupBy("field", "key_value").agg(F.round(F.avg(F.abs(F.col("v") - F.col("mean_value"))), 9).alias("spread"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ratings, p1_rejects, p4_found, p4_keys, p4_spread)}
@@ -91,6 +91,6 @@ ORACLES = {
     "p1_rejects": f"WITH {_CUT} SELECT line_id, file_name, line, array_to_string(reasons, ',') AS reasons FROM cases WHERE len(reasons) > 0",
     "p4_found": f"WITH {_KEYS} SELECT field, key_value FROM stats WHERE is_heavy",
     "p4_keys": f"WITH {_KEYS} SELECT field, key_value, n_rows, round(mean_value, 6) AS mean_c2, last_c3, is_heavy FROM stats",
-    "p4_spread": f"""WITH {_KEYS} SELECT field, key_value, round(avg(abs(c2 - mean_value)), 6) AS spread
+    "p4_spread": f"""WITH {_KEYS} SELECT field, key_value, round(avg(abs(c2 - mean_value)), 9) AS spread
         FROM long JOIN stats USING (field, key_value) WHERE c2 IS NOT NULL GROUP BY ALL""",
 }
