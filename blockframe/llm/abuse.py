@@ -9,9 +9,15 @@ A text is cut into passages (sentences, comment lines, arguments of commands) af
 look-alike characters, spaced-out and stretched letters are undone. A passage is scored as a whole and in sliding windows of
 ``WORDS`` words, so a short passage inside a long one counts. Every passage of every text is covered.
 
-Training runs on the driver over at most ``LABELLED`` labelled and ``SAMPLE`` other documents, chosen by hash (documented bounds); the
-labels of a document are settled by majority. Which passage of an abusive document is the abusive one is not labelled: the best
-scored passages stand for it, over a few rounds, beginning with the seed passages of :mod:`blockframe.llm.abuse_seeds`.
+Passages and runs of words are counted over all documents without labels, on the executors. All that stand in a share ``COMMON`` of
+the documents reach the driver; no more than passages of a document / ``COMMON`` can. Every other passage is scored on the executors
+by a model of the labels alone, and those it finds somewhat abusive go to the driver to be learned from, the best ``CANDIDATES`` of
+them; ``Model.left_out`` counts the rest. The base is trained on the common passages and about ``BASE_PASSAGES`` drawn by hash from all
+others, with those of the labelled documents.
+
+Training runs on the driver over at most ``LABELLED`` labelled documents, chosen by hash (a documented bound); the labels of a
+document are settled by majority. Which passage of an abusive document is the abusive one is not labelled: the best scored passages
+stand for it, over a few rounds, beginning with the seed passages of :mod:`blockframe.llm.abuse_seeds`.
 
 Defined cases: a null, empty or blank text has score 0 and is not abusive; a null source is a source of its own; repeated rows are
 scored each; without labels the seeds and the default threshold are used; other columns, whatever their names, are unused.
@@ -32,13 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockframe.llm.abuse_seeds import ABUSIVE, ORDINARY
+from blockframe.plans.runtime import durable
 
-LABELLED, SAMPLE = 4000, 2000
+LABELLED = 4000
+#: Passages that the base is trained on besides the common and the labelled ones; passages of other documents to learn from.
+BASE_PASSAGES, CANDIDATES = 60_000, 20_000
 WORDS, STRIDE = 10, 3
 #: Characters per window where a script has no spaces.
 SIGNS = 16
 #: Sizes of the base dictionary and of what either class adds to it.
 BASE_BYTES, OWN_BYTES = 64_000, 100_000
+#: Level of the coder. It parses optimally: below, many like passages in a dictionary hide the better match in the base.
+LEVEL = 15
 #: Scores: of an ordinary passage that may be confused, of the chosen passage of a labelled document, of one learned without a label.
 CONFUSED, CLEAR, SURE = 2, 5, 12
 #: Words from which on a passage of an abusive document is chosen at CONFUSED, if none of its runs of words is ordinary.
@@ -150,8 +161,8 @@ class Coder:
 
     def __init__(self, dictionary: bytes):
         d = zstandard.ZstdCompressionDict(dictionary)
-        d.precompute_compress(level=12)
-        self.compress = zstandard.ZstdCompressor(level=12, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        d.precompute_compress(level=LEVEL)
+        self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def __call__(self, passage: str) -> int:
         return len(self.compress(passage.encode("utf-8", "replace")))
@@ -159,18 +170,19 @@ class Coder:
 
 @dataclass
 class Model:
-    """Two dictionaries and a threshold."""
+    """Two dictionaries, a threshold, and the number of passages beyond ``CANDIDATES`` that were not learned from."""
 
     ordinary: bytes
     abusive: bytes
     threshold: float = DEFAULT_THRESHOLD
+    left_out: int = 0
 
     def open(self) -> Model:
         self.plain, self.bad, self.passages, self.seen = Coder(self.ordinary), Coder(self.abusive), Passages(), {}
         return self
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("ordinary", "abusive", "threshold")}
+        return {k: getattr(self, k) for k in ("ordinary", "abusive", "threshold", "left_out")}
 
     def best(self, passage: str) -> tuple[float, str]:
         """Largest score of the windows of a deep passage, and that window; at equal scores the shorter one."""
@@ -203,12 +215,26 @@ def _gram_counts(documents: list[set]) -> Counter:
     return Counter(g for d in documents for g in {g for w in d for g in shingles(w)})
 
 
+@dataclass
 class Others:
-    """Counts over the documents without labels: of passages and of runs of words; ``common`` documents make either ordinary."""
+    """Counts over the documents without labels: of passages and of runs of words; ``common`` documents make either ordinary.
+
+    ``passages`` and ``grams`` hold all common ones; ``passages`` also the others that the base is trained on, ``rare`` those to learn from.
+    """
 
-    def __init__(self, documents: list[set]):
-        self.passages, self.grams = Counter(w for d in documents for w in d), _gram_counts(documents)
-        self.common = max(5, COMMON * len(documents))
+    passages: dict[str, int]
+    grams: dict[str, int]
+    common: float
+    rare: dict[str, int]
+
+    @classmethod
+    def of(cls, documents: list[set]) -> Others:
+        passages = Counter(w for d in documents for w in d)
+        return cls(passages, _gram_counts(documents), _common(len(documents)), passages)
+
+
+def _common(documents: int) -> float:
+    return max(5, COMMON * documents)
 
 
 class Evidence:
@@ -223,7 +249,7 @@ class Evidence:
         return self.positive[gram] >= 2 and self.positive[gram] >= self.ratio * self.negative[gram]
 
     def ordinary(self, gram: str) -> bool:
-        return not self.abusive(gram) and (self.negative[gram] >= 1 or self.other[gram] >= self.common)
+        return not self.abusive(gram) and (self.negative[gram] >= 1 or self.other.get(gram, 0) >= self.common)
 
     def disputed(self, passage: str) -> bool:
         """Whether a passage of a document labelled ordinary is known from abusive ones: the label is taken as an error."""
@@ -250,17 +276,32 @@ class Evidence:
         return ("" if unit else " ").join(parts[begin : begin + n]) if n >= (SIGN_GRAM if unit else 3) else ""
 
 
+def _spread(passages: list[str], held: list[str]) -> list[str]:
+    """Passages without those whose repeated runs of words all stand in ``held`` or in a passage before: such add names only."""
+    passages = list(dict.fromkeys(passages))
+    runs = [set(shingles(w)) for w in passages]
+    repeated = {g for g, n in Counter(g for r in runs for g in r).items() if n > 1}
+    covered, out = {g for w in held for g in shingles(w)}, []
+    for w, r in zip(passages, runs, strict=True):
+        if not (mine := r & repeated) or mine - covered:
+            out.append(w)
+            covered |= mine
+    return out
+
+
 def _fit(positive: list[set], negative: list[set], other: Others) -> Model:
     """Dictionaries from the passages of labelled and other documents."""
     seeds, plain = [deepen(x.lower()) for x in ABUSIVE], [deepen(x.lower()) for x in ORDINARY]
     in_negative = Counter(w for d in negative for w in d)
     in_other, common = other.passages, other.common
-    base = _base({**in_other, **in_negative} or plain)
-    length, evidence = Coder(base), Evidence(positive, negative, other)
+    evidence = Evidence(positive, negative, other)
+    #: Runs known from abusive documents stay out of the base, or they would cancel out.
+    base = _base([w for w in {**in_other, **in_negative} if not evidence.disputed(w)] or plain)
+    length = Coder(base)
     #: Passages short under the base dictionary leave no room for a difference of CLEAR bytes.
-    known = {w: length(w) for w in {*in_negative, *in_other}}
-    ordinary = [w for w in sorted(known) if known[w] > CLEAR and (w in in_negative or in_other[w] >= common) and not evidence.disputed(w)]
-    rare = [w for w in sorted(known) if known[w] >= SURE + SHORTEST and w not in in_negative and in_other[w] < common]
+    known = {w: length(w) for w in {*in_negative, *in_other, *other.rare}}
+    ordinary = [w for w in sorted(known) if known[w] > CLEAR and (w in in_negative or in_other.get(w, 0) >= common) and not evidence.disputed(w)]
+    rare = [w for w in sorted(other.rare) if known[w] >= SURE + SHORTEST and w not in in_negative and other.rare[w] < common]
     own = [{t for w in d if w not in in_negative and (t := evidence.trimmed(w))} for d in positive]
     bad, model = seeds, None
     for turn in range(ROUNDS):
@@ -272,19 +313,27 @@ def _fit(positive: list[set], negative: list[set], other: Others) -> Model:
             found = sorted(map(model.best, d), key=lambda x: (-x[0], x[1]))
             chosen += [w for score, w in found if score >= CLEAR or (score >= CONFUSED and len(w.split(" ")) >= UNUSUAL)][:4]
         taught = [t for found in map(model.best, rare) if found[0] >= SURE and (t := evidence.trimmed(found[1]))] if turn else []
-        bad = list(dict.fromkeys(seeds + chosen + taught))
+        bad = list(dict.fromkeys(seeds + chosen + _spread(taught, seeds + chosen)))
     return Model(_with(base, good), _with(base, bad))
 
 
 def train(labelled: list[tuple[str, int]], other: list[str]) -> Model:
-    """A model from (text, label) and further texts.
+    """A model from (text, label) and further texts."""
+    cut = Passages()
+    return _train(_cut(labelled), Others.of([set(cut(text)) for text in other]))
+
+
+def _cut(labelled: list[tuple[str, int]]) -> list[tuple[set, int]]:
+    cut = Passages()
+    return [(set(cut(text)), label) for text, label in labelled]
+
+
+def _train(rows: list[tuple[set, int]], rest: Others) -> Model:
+    """A model from (passages, label) of documents and the counts of the others.
 
     Its threshold is the one nearest to the default among those whose F1 on labels held out of training is within ``CLOSE`` of the best:
     with errors in the labels, smaller differences say nothing.
     """
-    cut = Passages()
-    rows = [(set(cut(text)), label) for text, label in labelled]
-    rest = Others([set(cut(text)) for text in other])
     model = _fit([d for d, y in rows if y], [d for d, y in rows if not y], rest)
     positives = sum(y for _, y in rows)
     if positives < ENOUGH or positives == len(rows):
@@ -313,17 +362,70 @@ def settled(labels: DataFrame) -> DataFrame:
     return votes.select("doc_id", (F.col("v") > 0.5).cast("int").alias("label"))
 
 
-def fit(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, sample: int = SAMPLE, seed: int = 42) -> Model:
-    """Train on bounded samples of the labelled and the other documents (doc_id, text)."""
+def counted(texts: DataFrame) -> DataFrame:
+    """(kind, item, n): the documents that hold each passage (kind 0) and each run of words (1), and the documents (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, documents = Passages(), 0
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def out(kind: int) -> pa.RecordBatch:
+            items, n = list(held[kind]), list(held[kind].values())
+            held[kind].clear()
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array([w.encode("utf-8", "replace") for w in items], pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["kind", "item", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                documents += 1
+                passages = set(cut(text.as_py()))
+                held[0].update(passages)
+                held[1].update({g for w in passages for g in shingles(w)})
+                for kind in (0, 1):
+                    if len(held[kind]) > CACHE:
+                        yield out(kind)
+        yield out(0)
+        yield out(1)
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([""]), pa.array([documents], pa.int64())], ["kind", "item", "n"])
+
+    return texts.select("text").mapInArrow(run, "kind int, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+
+
+def candidates(passages: DataFrame, model: Model) -> DataFrame:
+    """(item, n, score) of the passages (item, n) that a model scores CLEAR or more."""
+    shared = passages.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value if hasattr(shared.value, "seen") else shared.value.open()
+        for batch in batches:
+            scores = pa.array([m.best(v.as_py())[0] for v in batch.column(0)], pa.float64())
+            found = pa.RecordBatch.from_arrays([*batch.columns, scores], ["item", "n", "score"])
+            yield found.filter(pa.array([s >= CLEAR for s in scores.to_pylist()], pa.bool_()))
+
+    return passages.select("item", "n").mapInArrow(run, "item string, n bigint, score double")
+
+
+def fit(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, base: int = BASE_PASSAGES, learned: int = CANDIDATES, seed: int = 42) -> Model:
+    """Train on a bounded sample of the labelled documents (doc_id, text) and on counts over all others."""
     texts = df.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''")
     order = F.xxhash64("doc_id", F.lit(seed))
     votes = settled(labels)
     chosen = votes.filter("label = 1").orderBy(order).limit(labelled // 2).unionByName(votes.filter("label = 0").orderBy(order).limit(labelled // 2))
-    known = texts.join(chosen, "doc_id").select("text", "label").collect()
-    n = texts.count()
-    share = F.pmod(order, F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.1 * sample / max(n, 1)))
-    others = texts.filter(share).join(votes, "doc_id", "left_anti").select("text").limit(sample).collect()
-    return train([(r["text"], r["label"]) for r in known], [r["text"] for r in others])
+    rows = _cut([(r["text"], r["label"]) for r in texts.join(chosen, "doc_id").select("text", "label").collect()])
+    counts = durable(counted(texts.join(votes, "doc_id", "left_anti")))
+    sizes = {r["kind"]: (r["items"], r["n"]) for r in counts.groupBy("kind").agg(F.count("item").alias("items"), F.sum("n").alias("n")).collect()}
+    common = _common(sizes[2][1] if 2 in sizes else 0)
+    often = counts.filter((F.col("kind") < 2) & (F.col("n") >= common)).collect()
+    seldom = counts.filter((F.col("kind") == 0) & (F.col("n") < common))
+    share = F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, base / max(1, sizes.get(0, (0, 0))[0])))
+    held = {r["item"]: r["n"] for r in often if r["kind"] == 0} | {r["item"]: r["n"] for r in seldom.filter(share).select("item", "n").collect()}
+    rest = Others(held, {r["item"]: r["n"] for r in often if r["kind"] == 1}, common, {})
+    alone = _fit([d for d, y in rows if y], [d for d, y in rows if not y], rest)
+    found = durable(candidates(seldom, alone))
+    best = found.orderBy(F.desc("score"), "item").limit(learned).collect()
+    rest.rare = {r["item"]: r["n"] for r in best}
+    model = _train(rows, rest)
+    model.left_out = found.count() - len(best)
+    return model
 
 
 def score(df: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

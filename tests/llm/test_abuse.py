@@ -65,3 +65,43 @@ def test_model_round_trip(model):
 
     back = pickle.loads(pickle.dumps(model)).open()
     assert back.document(BAD[0].format("Zoe")) == model.document(BAD[0].format("Zoe"))
+
+
+def _name(i):
+    return "".join("bcdfghklmn"[int(c)] + "aeiou"[int(c) // 2] for c in f"{i:04}")
+
+
+def _corpus(n):
+    """Labelled and many more other documents, of which the last 8 hold an insult of their own each."""
+    bad = [f"you pathetic idiot you are a worthless piece of shit {_name(9990 - 7 * i)}" for i in range(8)]
+    rows = [(i, ORDINARY[i % 60] + (f"\n% {BAD[i % 4].format('Ann')}" if i < 12 else "")) for i in range(60)]
+    rows += [(1000 + i, ORDINARY[i % 60] + f"\nwe thank the {_name(i)} facility" + (f"\n% {bad[i - n]}\n" if i >= n - 8 else "")) for i in range(n)]
+    return rows, [(i, int(i < 12)) for i in range(60)], bad
+
+
+def test_training_knows_all_documents(spark, monkeypatch):
+    rows, labels, bad = _corpus(5000)
+    given, fit = [], abuse._fit
+    monkeypatch.setattr(abuse, "_fit", lambda positive, negative, other: given.append(other) or fit(positive, negative, other))
+    abuse.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, abusive int"))
+    cut = abuse.Passages()
+    local = abuse.Others.of([set(cut(t)) for i, t in rows if i >= 1000])
+    other = given[-1]
+    assert other.common == local.common == 20
+    assert {w: n for w, n in other.passages.items() if n >= 20} == {w: n for w, n in local.passages.items() if n >= 20}
+    assert {g: n for g, n in other.grams.items() if n >= 20} == {g: n for g, n in local.grams.items() if n >= 20}
+    assert {w for b in bad for w in cut(b)} <= {*other.passages, *other.rare}
+
+
+def test_candidates_of_all_documents(spark, model):
+    rows = [(w, 1) for k in range(3000) for w in (f"we thank the {_name(k)} facility",)] + [("you are a worthles piece of shit", 1), ("shut up you pathetic idiot", 2)]
+    found = abuse.candidates(spark.createDataFrame(rows, "item string, n bigint"), model).collect()
+    assert {r.item for r in found if r.score >= abuse.SURE} == {"you are a worthles piece of shit", "shut up you pathetic idiot"}
+
+
+def test_counts_of_all_documents(spark):
+    rows, _, _ = _corpus(300)
+    got = {(r.kind, r.item): r.n for r in abuse.counted(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()}
+    cut = abuse.Passages()
+    local = abuse.Others.of([set(cut(t)) for _, t in rows])
+    assert got == {(0, w): n for w, n in local.passages.items()} | {(1, g): n for g, n in local.grams.items()} | {(2, ""): len(rows)}
