@@ -46,8 +46,8 @@ BASE_PASSAGES, CANDIDATES = 60_000, 20_000
 WORDS, STRIDE = 10, 3
 #: Characters per window where a script has no spaces.
 SIGNS = 16
-#: Sizes of the base dictionary and of what either class adds to it.
-BASE_BYTES, OWN_BYTES = 64_000, 100_000
+#: Size of the base dictionary; either class adds all its passages to it.
+BASE_BYTES = 64_000
 #: Level of the coder. It parses optimally: below, many like passages in a dictionary hide the better match in the base.
 LEVEL = 15
 #: Scores: of an ordinary passage that may be confused, of the chosen passage of a labelled document, of one learned without a label.
@@ -151,9 +151,15 @@ def _base(passages: Iterable[str]) -> bytes:
 
 
 def _with(base: bytes, passages: list[str]) -> bytes:
-    """A dictionary extended by passages, the first of them nearest to the text, up to ``OWN_BYTES``."""
-    own = b"\n".join(p.encode("utf-8", "replace") for p in reversed(passages))
-    return base + b"\n" + own[-OWN_BYTES:]
+    """A dictionary extended by all passages, the first of them nearest to the text."""
+    return base + b"\n" + b"\n".join(p.encode("utf-8", "replace") for p in reversed(passages))
+
+
+def _pair(base: bytes, good: list[str], bad: list[str]) -> tuple[bytes, bytes]:
+    """Dictionaries of either class, the shorter filled up behind the base, so that the base is as far from the text in both."""
+    both = _with(base, good), _with(base, bad)
+    most = max(map(len, both))
+    return tuple(base + b"\n" * (most - len(d)) + d[len(base) :] for d in both)
 
 
 class Coder:
@@ -161,8 +167,12 @@ class Coder:
 
     def __init__(self, dictionary: bytes):
         d = zstandard.ZstdCompressionDict(dictionary)
-        d.precompute_compress(level=LEVEL)
-        self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        #: The search of small dictionaries, with tables that hold all of this one.
+        log = max(17, len(dictionary).bit_length())
+        tables = {"window_log": log, "hash_log": log, "chain_log": log + 1}
+        p = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=BASE_BYTES, write_content_size=0, write_checksum=0, write_dict_id=0, **tables)
+        d.precompute_compress(compression_params=p)
+        self.compress = zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
 
     def __call__(self, passage: str) -> int:
         return len(self.compress(passage.encode("utf-8", "replace")))
@@ -226,11 +236,12 @@ class Others:
     grams: dict[str, int]
     common: float
     rare: dict[str, int]
+    documents: int
 
     @classmethod
     def of(cls, documents: list[set]) -> Others:
         passages = Counter(w for d in documents for w in d)
-        return cls(passages, _gram_counts(documents), _common(len(documents)), passages)
+        return cls(passages, _gram_counts(documents), _common(len(documents)), passages, len(documents))
 
 
 def _common(documents: int) -> float:
@@ -244,9 +255,11 @@ class Evidence:
         self.positive, self.negative, self.other = _gram_counts(positive), _gram_counts(negative), other.grams
         self.ratio = AGAINST * len(positive) / max(1, len(negative))
         self.common = other.common
+        self.usual = AGAINST * len(positive) / max(1, other.documents)
 
     def abusive(self, gram: str) -> bool:
-        return self.positive[gram] >= 2 and self.positive[gram] >= self.ratio * self.negative[gram]
+        n, other = self.positive[gram], self.other.get(gram, 0)
+        return n >= 2 and n >= self.ratio * self.negative[gram] and (other < self.common or n >= self.usual * other)
 
     def ordinary(self, gram: str) -> bool:
         return not self.abusive(gram) and (self.negative[gram] >= 1 or self.other.get(gram, 0) >= self.common)
@@ -307,14 +320,14 @@ def _fit(positive: list[set], negative: list[set], other: Others) -> Model:
     for turn in range(ROUNDS):
         abusive = Coder(_with(base, bad))
         good = plain + [w for w in ordinary if known[w] - abusive(w) >= CONFUSED]
-        model = Model(_with(base, good), _with(base, bad)).open()
+        model = Model(*_pair(base, good, bad)).open()
         chosen = []
         for d in own:
             found = sorted(map(model.best, d), key=lambda x: (-x[0], x[1]))
             chosen += [w for score, w in found if score >= CLEAR or (score >= CONFUSED and len(w.split(" ")) >= UNUSUAL)][:4]
         taught = [t for found in map(model.best, rare) if found[0] >= SURE and (t := evidence.trimmed(found[1]))] if turn else []
         bad = list(dict.fromkeys(seeds + chosen + _spread(taught, seeds + chosen)))
-    return Model(_with(base, good), _with(base, bad))
+    return Model(*_pair(base, good, bad))
 
 
 def train(labelled: list[tuple[str, int]], other: list[str]) -> Model:
@@ -413,12 +426,13 @@ def fit(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, base: int =
     rows = _cut([(r["text"], r["label"]) for r in texts.join(chosen, "doc_id").select("text", "label").collect()])
     counts = durable(counted(texts.join(votes, "doc_id", "left_anti")))
     sizes = {r["kind"]: (r["items"], r["n"]) for r in counts.groupBy("kind").agg(F.count("item").alias("items"), F.sum("n").alias("n")).collect()}
-    common = _common(sizes[2][1] if 2 in sizes else 0)
+    documents = sizes[2][1] if 2 in sizes else 0
+    common = _common(documents)
     often = counts.filter((F.col("kind") < 2) & (F.col("n") >= common)).collect()
     seldom = counts.filter((F.col("kind") == 0) & (F.col("n") < common))
     share = F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, base / max(1, sizes.get(0, (0, 0))[0])))
     held = {r["item"]: r["n"] for r in often if r["kind"] == 0} | {r["item"]: r["n"] for r in seldom.filter(share).select("item", "n").collect()}
-    rest = Others(held, {r["item"]: r["n"] for r in often if r["kind"] == 1}, common, {})
+    rest = Others(held, {r["item"]: r["n"] for r in often if r["kind"] == 1}, common, {}, documents)
     alone = _fit([d for d, y in rows if y], [d for d, y in rows if not y], rest)
     found = durable(candidates(seldom, alone))
     best = found.orderBy(F.desc("score"), "item").limit(learned).collect()

@@ -105,3 +105,21 @@ def test_counts_of_all_documents(spark):
     cut = abuse.Passages()
     local = abuse.Others.of([set(cut(t)) for _, t in rows])
     assert got == {(0, w): n for w, n in local.passages.items()} | {(1, g): n for g, n in local.grams.items()} | {(2, ""): len(rows)}
+
+
+def test_dictionaries_hold_all_passages():
+    mixed = [f"{_name(i)} {_name(7 * i % 9973)} the counterexample {_name(3 * i % 9967)}" for i in range(5000)] + [f"контрпример {chr(1072 + i % 30) * 2}{i}" for i in range(500)] + [f"反例{chr(0x4E00 + i)}" for i in range(500)]
+    base = b"a base of common words " * 200
+    for passages in (mixed, mixed[::-1]):
+        d = abuse._with(base, passages)
+        assert set(d[len(base) :].decode().split("\n")) == {"", *passages}
+        coder = abuse.Coder(d)
+        assert all(coder(w) <= 24 for w in mixed[:20] + mixed[2490:2510] + mixed[4980:5000] + mixed[-20:])
+    good, bad = abuse._pair(base, mixed, mixed[:10])
+    assert len(good) == len(bad) and all(w.encode() in good for w in mixed)
+
+
+def test_what_all_documents_hold_is_no_evidence():
+    other = abuse.Others.of([{"let it be given"}] * 30 + [{f"lemma {k}"} for k in range(970)])
+    evidence = abuse.Evidence([{"let it be given", "shut up you idiot"}] * 2 + [{"a"}] * 48, [{"b"}] * 400, other)
+    assert not evidence.disputed("let it be given") and evidence.disputed("shut up you idiot")
