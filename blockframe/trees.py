@@ -1,8 +1,9 @@
 """Decision trees and forests over the histogram trees of Spark ML.
 
 Levels of all trees grow together from per-(tree, node, feature, bin) class counts, the plan the block-wise engines aim at. Parameters
-that steered memory maps or task nesting (``distr_depth``, ``sklearn_max``, ``mmap``, ``nested``, ``sync_after_fit``) are validated and have
-no effect.
+that steered memory maps or task nesting (``distr_depth``, ``sklearn_max``, ``mmap``, ``nested``, ``sync_after_fit``) have no effect.
+Neither have ``split_computation``, ``range_min`` and ``range_max`` (splits are those of the raw values), nor ``n_split_points`` up to 31, since
+no feature has fewer than 32 bins, so that "auto" never counts. Single trees try all features at a split, whatever ``try_features``.
 """
 
 from __future__ import annotations
