@@ -1,26 +1,29 @@
 """Abusive, hateful or sexually explicit passages in documents (problem 9).
 
-Compression-distance classification. Two zstandard dictionaries are trained, on ordinary and on abusive passages; both begin with
-the same base of what is common in the corpus, so that names and formulas weigh alike. A window of text is scored by the bytes
-that the ordinary dictionary needs beyond those the abusive one needs, and a document by its largest window. The threshold is
-calibrated on held-out labels.
+Compression-distance classification. Two zstandard dictionaries are trained separately, one on ordinary and one on abusive text. A window of
+text is scored by the bytes that it takes under the ordinary dictionary beyond those under the abusive one, over the square root
+of the former; a document has the score of its largest window, and the threshold is calibrated on held-out labels.
 
-A text is cut into passages (sentences, comment lines, arguments of commands) after markup that breaks words is glued together;
-look-alike characters, spaced-out and stretched letters are undone. A passage is scored as a whole and in sliding windows of
-``WORDS`` words, so a short passage inside a long one counts. Every passage of every text is covered.
+Each dictionary is the trained one of its class followed by all passages selected for the class. The ordinary one is repeated behind the abusive
+training, so that names and formulas cost as much under either and only what is special to abuse makes a difference.
 
-Passages and runs of words are counted over all documents without labels, on the executors. All that stand in a share ``COMMON`` of
-the documents reach the driver; no more than passages of a document / ``COMMON`` can. Every other passage is scored on the executors
-by a model of the labels alone, and those it finds somewhat abusive go to the driver to be learned from, the best ``CANDIDATES`` of
-them; ``Model.left_out`` counts the rest. The base is trained on the common passages and about ``BASE_PASSAGES`` drawn by hash from all
-others, with those of the labelled documents.
+Nothing of a text is left out. It is cut into passages at sentence ends, lines, comment signs, braces, brackets, dollar signs and commands;
+arguments of commands and formulas are passages of their own. Markup inside words is glued first; look-alike characters, spaced-out
+and stretched letters are undone. A passage longer than that is scored in sliding windows of ``WORDS`` words. Passages of fewer than ``FEW``
+words are also scored joined with their neighbours. A passage of at most ``SHORT`` characters saves less than the bytes in which lengths are
+counted, so it is scored by a second pair of dictionaries over text whose every byte is written as four.
 
-Training runs on the driver over at most ``LABELLED`` labelled documents, chosen by hash (a documented bound); the labels of a
-document are settled by majority. Which passage of an abusive document is the abusive one is not labelled: the best scored passages
-stand for it, over a few rounds, beginning with the seed passages of :mod:`blockframe.llm.abuse_seeds`.
+Training runs on the driver over a bounded sample of labelled documents: by hash, at most ``LABELLED`` of either label and ``LABELLED_CHARS``
+characters in all; when there are more, those kept stand for all of their label in the calibration. Everything else reads all documents, in
+one pass without a shuffle. The labels of a document are settled by majority. Which passage of an abusive document is the abusive one is not
+labelled: the best scored passages stand for it, over a few rounds, beginning with the seed passages of :mod:`blockframe.llm.abuse_seeds`.
+Labelled documents are in a total order, so a model depends on the rows alone, not on their partitions.
+
+The threshold is the one nearest to ``DEFAULT_THRESHOLD`` among those whose F1 on documents and seeds held out of training is within ``CLOSE``
+of the best. Held-out seeds take part with the weight of ``PRIOR`` documents of either kind, so that few labels move the threshold little.
 
 Defined cases: a null, empty or blank text has score 0 and is not abusive; a null source is a source of its own; repeated rows are
-scored each; without labels the seeds and the default threshold are used; other columns, whatever their names, are unused.
+scored each; without labels the seeds alone are the model; other columns, whatever their names, are unused.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,39 +44,41 @@ from pyspark.sql import functions as F
 from blockframe.llm.abuse_seeds import ABUSIVE, ORDINARY
 from blockframe.plans.runtime import durable
 
-LABELLED = 4000
-#: Passages that the base is trained on besides the common and the labelled ones; passages of other documents to learn from.
-BASE_PASSAGES, CANDIDATES = 60_000, 20_000
+#: Documents of either label, and characters in all, that are trained on.
+LABELLED, LABELLED_CHARS = 2500, 20_000_000
 WORDS, STRIDE = 10, 3
 #: Characters per window where a script has no spaces.
 SIGNS = 16
-#: Size of the base dictionary; either class adds all its passages to it.
-BASE_BYTES = 64_000
-#: Level of the coder. It parses optimally: below, many like passages in a dictionary hide the better match in the base.
+#: Words below which a passage is also joined with its neighbours; characters of a short passage.
+FEW, SHORT = 4, 24
+#: Size of a trained dictionary; the segments that training picks from.
+TRAINED_BYTES, SEGMENT, STEP = 128_000, 64, 8
+#: Level of the coder. It parses optimally: below, many like passages in a dictionary hide the better match in the rest.
 LEVEL = 15
-#: Scores: of an ordinary passage that may be confused, of the chosen passage of a labelled document, of one learned without a label.
-CONFUSED, CLEAR, SURE = 2, 5, 12
+#: Bytes of difference: of an ordinary passage that may be confused, of the chosen passage of a labelled document.
+CONFUSED, CLEAR = 2, 5
 #: Words from which on a passage of an abusive document is chosen at CONFUSED, if none of its runs of words is ordinary.
 UNUSUAL = 6
-#: No passage is shorter than this under any of the dictionaries, with a margin of several bytes.
-SHORTEST = 12
-#: Share of other documents from which on a passage is taken as ordinary; rounds of choosing passages; folds and positives to calibrate.
-COMMON, ROUNDS, FOLDS, ENOUGH = 0.004, 4, 3, 12
+#: Bytes that every coded passage takes.
+FRAME = 5
+ROUNDS, FOLDS, PRIOR = 3, 3, 10.0
 #: Words and characters of a run that labels are counted for; how many times more often an abusive run stands in abusive documents.
 GRAM, SIGN_GRAM, AGAINST = 3, 6, 5.0
-CLOSE = 0.02
-DEFAULT_THRESHOLD = 8.0
-CACHE = 300_000
+CLOSE = 0.01
+DEFAULT_THRESHOLD = 1.5
+GRID = [x / 20 for x in range(18, 81)]
+CACHE = 400_000
 
-_MARKS = re.compile("[\u0300-\u036f\u200b-\u200f\u2060\ufeff\u00ad\u202a-\u202e]+")
+_MARKS = re.compile("[̀-ͯ​-‏⁠﻿­‪-‮]+")
 _GLUE = re.compile(
-    r"\\-|\\/|\{\}|\\(?:textbf|emph|textit|textsc|texttt|textrm|textsf|underline|uline|text|mbox)\{(?=[^{}]{0,400}\})|\\(?:bf|it|em|sc|tt|small|large)\b ?"
+    r"\\-|\\/|\{\}|\\(?:textbf|emph|textit|textsc|texttt|textrm|textsf|underline|uline|text|mbox)\{([^{}]{0,400})\}|\\(?:bf|it|em|sc|tt|small|large)\b ?"
 )
-_DROP = re.compile(
+#: What stands beside the sentence: arguments of references and settings, optional arguments, formulas.
+_SIDE = re.compile(
     r"\\(?:[a-z]*cite[a-z]*|[a-z]*ref|label|bibitem|begin|end|usepackage|documentclass|input|include[a-z]*|bibliography[a-z]*|pagestyle)\*?"
-    r"(?:\[[^\]\n]*\])*\{[^}\n]*\}|\$[^$\n]{0,300}\$"
+    r"(?:\[[^\]\n]*\])*\{[^}\n]*\}|\\[a-z]+\*?\[[^\]\n]*\]|(?<![a-z])\$[^$\n]{0,300}\$|\$[^$\n]{0,300}\$(?![a-z])"
 )
-_BREAK = re.compile(r"[.!?;:](?=[\s\"'})]|$)|[。！？；]|\\[a-z]+\*?(?:\[[^\]\n]*\])?|[{}%|>&\r]")
+_BREAK = re.compile(r"[.!?;:](?=[\s\"'})\]]|$)|[。！？；]|\\[a-z]+\*?|[{}%|>&\r]")
 _SWAP = re.compile(r"[@013$547!*|]+(?=[^\W\d_])")
 _SPACED = re.compile(r" [^\W\d_](?: [^\W\d_]){3,}(?= |$)")
 _RUN, _ASCII_RUN = re.compile(r"([^\W\d_])\1+"), re.compile(r"([a-z])\1+")
@@ -84,15 +90,22 @@ _LATIN = re.compile(r"[a-z]")
 _CYRILLIC_LETTER = re.compile(r"[а-я]")
 
 
-def long_enough(passage: str) -> bool:
-    return len(passage) >= 8 or (len(passage) >= 4 and not passage.isascii())
-
-
-def raw_passages(text: str) -> list[str]:
-    """Passages of a text in lower case, markup that breaks words glued."""
+def raw_passages(text: str) -> tuple[list[str], list[str]]:
+    """Passages of a text in lower case, markup that breaks words glued: those of its sentences, and those beside them."""
+    text = text.lower()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    return _BREAK.sub("\n", _GLUE.sub("", _DROP.sub(" ", text.lower()))).split("\n")
+    glued = "\\" in text or "{}" in text
+    while glued:  # innermost first
+        text, glued = _GLUE.subn(r"\1", text)
+    side: list[str] = []
+
+    def aside(m: re.Match) -> str:
+        side.append(m[0].strip("$"))
+        return " "
+
+    text = _SIDE.sub(aside, text)
+    return _BREAK.sub("\n", text).split("\n"), _BREAK.sub("\n", "\n".join(side)).split("\n")
 
 
 def deepen(raw: str) -> str:
@@ -117,49 +130,77 @@ class Passages:
         self.seen: dict[str, str] = {}
 
     def __call__(self, text: str | None) -> list[str]:
-        out = []
-        for raw in raw_passages(text) if text else ():
-            deep = self.seen.get(raw)
-            if deep is None:
-                deep = deepen(raw)
-                if len(self.seen) < CACHE:
-                    self.seen[raw] = deep
-            if long_enough(deep):
-                out.append(deep)
-        return out
+        """The passages, each once: of the sentences, short ones also joined, and those beside the sentences."""
+        if not text:
+            return []
+        main, side = ([d for raw in part if (d := self._deep(raw))] for part in raw_passages(text))
+        return list(dict.fromkeys([*main, *joined(main), *side]))
+
+    def _deep(self, raw: str) -> str:
+        deep = self.seen.get(raw)
+        if deep is None:
+            deep = deepen(raw)
+            if len(self.seen) < CACHE:
+                self.seen[raw] = deep
+        return deep
+
+
+def joined(passages: list[str]) -> list[str]:
+    """Each run of passages of fewer than ``FEW`` words that follow one another, as one passage."""
+    out, run = [], []
+    for p in [*passages, None]:
+        if p is not None and p.count(" ") < FEW - 1:
+            run.append(p)
+            continue
+        if len(run) > 1:
+            out.append(" ".join(run))
+        run = []
+    return out
 
 
 def sliding(passage: str) -> list[str]:
-    """The passage, and its windows if it is longer than one."""
+    """The passage, or its windows if it is longer than one."""
     words = passage.split(" ")
     if len(words) > WORDS + STRIDE:
         starts = [*range(0, len(words) - WORDS, STRIDE), len(words) - WORDS]
-        return [passage, *(" ".join(words[i : i + WORDS]) for i in starts)]
+        return [" ".join(words[i : i + WORDS]) for i in starts]
     if not passage.isascii() and len(passage) > SIGNS * 1.5 and len(passage) > 12 * len(words):
         starts = [*range(0, len(passage) - SIGNS, SIGNS // 3), len(passage) - SIGNS]
-        return [passage, *(passage[i : i + SIGNS] for i in starts)]
+        return [passage[i : i + SIGNS] for i in starts]
     return [passage]
 
 
-def _base(passages: Iterable[str]) -> bytes:
-    """A dictionary of what is common in passages; these go in hash order, since training picks from runs of neighbours."""
-    samples = sorted((p.encode("utf-8", "replace") for p in passages), key=lambda p: (zlib.crc32(p), p))
-    try:
-        return zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to tell what is common
-        return b"\n".join(deepen(x.lower()).encode() for x in ORDINARY)
+#: Bytes that stand for one of a short passage.
+STRETCH = 4
+#: The bytes that follow a byte of a short passage.
+_NEXT = [bytes((i * (2 * k + 5) + 101 * k) % 256 for i in range(256)) for k in range(1, STRETCH)]
 
 
-def _with(base: bytes, passages: list[str]) -> bytes:
-    """A dictionary extended by all passages, the first of them nearest to the text."""
-    return base + b"\n" + b"\n".join(p.encode("utf-8", "replace") for p in reversed(passages))
+def plain_bytes(passage: str) -> bytes:
+    return passage.encode("utf-8", "replace")
 
 
-def _pair(base: bytes, good: list[str], bad: list[str]) -> tuple[bytes, bytes]:
-    """Dictionaries of either class, the shorter filled up behind the base, so that the base is as far from the text in both."""
-    both = _with(base, good), _with(base, bad)
-    most = max(map(len, both))
-    return tuple(base + b"\n" * (most - len(d)) + d[len(base) :] for d in both)
+def stretched(passage: str) -> bytes:
+    """``STRETCH`` bytes for each byte, so that a match of few characters saves several."""
+    b = passage.encode("utf-8", "replace")
+    out = bytearray(STRETCH * len(b))
+    out[::STRETCH] = b
+    for k, table in enumerate(_NEXT, 1):
+        out[k::STRETCH] = b.translate(table)
+    return bytes(out)
+
+
+def _trained(samples: Iterable[bytes], unit: int = 1) -> bytes:
+    """A dictionary trained on samples; these go in hash order, since training picks from runs of neighbours."""
+    ordered = sorted(samples, key=lambda p: (zlib.crc32(p), p))
+    return zstandard.train_dictionary(TRAINED_BYTES * unit, ordered, k=SEGMENT * unit, d=STEP).as_bytes()
+
+
+def _pair(good: list[bytes], ordinary: list[bytes], bad: list[bytes], unit: int = 1, background: bytes | None = None) -> tuple[bytes, bytes]:
+    """The ordinary and the abusive dictionary, trained on ``ordinary`` (or given) and ``bad``, then the selected passages, first ones nearest."""
+    gap = b"\n" * unit
+    background = background or _trained(ordinary, unit)
+    return background + gap + gap.join(reversed(good)), _trained(bad, unit) + background + gap + gap.join(reversed(bad))
 
 
 class Coder:
@@ -169,44 +210,59 @@ class Coder:
         d = zstandard.ZstdCompressionDict(dictionary)
         #: The search of small dictionaries, with tables that hold all of this one.
         log = max(17, len(dictionary).bit_length())
-        tables = {"window_log": log, "hash_log": log, "chain_log": log + 1}
-        p = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=BASE_BYTES, write_content_size=0, write_checksum=0, write_dict_id=0, **tables)
+        tables = {"window_log": log, "hash_log": log, "chain_log": log + 1, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
+        p = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=64_000, write_content_size=0, write_checksum=0, write_dict_id=0, **tables)
         d.precompute_compress(compression_params=p)
         self.compress = zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
 
-    def __call__(self, passage: str) -> int:
-        return len(self.compress(passage.encode("utf-8", "replace")))
+    def __call__(self, passage: bytes) -> int:
+        return len(self.compress(passage))
 
 
 @dataclass
 class Model:
-    """Two dictionaries, a threshold, and the number of passages beyond ``CANDIDATES`` that were not learned from."""
+    """Dictionaries (ordinary, abusive) of passages and of short ones, and a threshold."""
 
-    ordinary: bytes
-    abusive: bytes
+    long: tuple[bytes, bytes]
+    short: tuple[bytes, bytes]
     threshold: float = DEFAULT_THRESHOLD
-    left_out: int = 0
 
     def open(self) -> Model:
-        self.plain, self.bad, self.passages, self.seen = Coder(self.ordinary), Coder(self.abusive), Passages(), {}
+        self.passages, self.seen = Passages(), {}
+        self.plain, self.bad = map(Coder, self.long)
+        self.short_plain, self.short_bad = map(Coder, self.short)
         return self
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("ordinary", "abusive", "threshold", "left_out")}
+        return {k: getattr(self, k) for k in ("long", "short", "threshold")}
 
     def best(self, passage: str) -> tuple[float, str]:
         """Largest score of the windows of a deep passage, and that window; at equal scores the shorter one."""
-        return max(((float(self.plain(w) - self.bad(w)), w) for w in sliding(passage)), key=lambda x: (x[0], -len(x[1])))
+        if len(passage) <= SHORT:
+            p = stretched(passage)
+            n = self.short_plain(p)
+            return (n - self.short_bad(p)) / max(1, n - FRAME) ** 0.5, passage
+        top = (-1e9, "")
+        for w in sliding(passage):
+            p = plain_bytes(w)
+            n = self.plain(p)
+            s = (n - self.bad(p)) / max(1, n - FRAME) ** 0.5
+            if s > top[0] or (s == top[0] and len(w) < len(top[1])):
+                top = (s, w)
+        return top
 
     def document(self, text: str | None) -> tuple[float, str]:
         """Score of a text and the window that has it."""
-        top = (0.0, "")
-        for p in self.passages(text):
-            found = self.seen.get(p)
+        return self.of(self.passages(text))
+
+    def of(self, passages: Iterable[str]) -> tuple[float, str]:
+        top, seen = (0.0, ""), self.seen
+        for p in passages:
+            found = seen.get(p)
             if found is None:
                 found = self.best(p)
-                if len(self.seen) < CACHE:
-                    self.seen[p] = found
+                if len(seen) < CACHE:
+                    seen[p] = found
             if found[0] > top[0]:
                 top = found
         return top
@@ -220,49 +276,28 @@ def shingles(passage: str) -> list[str]:
     return [" ".join(words[i : i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))]
 
 
-def _gram_counts(documents: list[set]) -> Counter:
+def _gram_counts(documents: list[list[str]]) -> Counter:
     """Number of documents that hold each run of words."""
     return Counter(g for d in documents for g in {g for w in d for g in shingles(w)})
 
 
-@dataclass
-class Others:
-    """Counts over the documents without labels: of passages and of runs of words; ``common`` documents make either ordinary.
-
-    ``passages`` and ``grams`` hold all common ones; ``passages`` also the others that the base is trained on, ``rare`` those to learn from.
-    """
-
-    passages: dict[str, int]
-    grams: dict[str, int]
-    common: float
-    rare: dict[str, int]
-    documents: int
-
-    @classmethod
-    def of(cls, documents: list[set]) -> Others:
-        passages = Counter(w for d in documents for w in d)
-        return cls(passages, _gram_counts(documents), _common(len(documents)), passages, len(documents))
-
-
-def _common(documents: int) -> float:
-    return max(5, COMMON * documents)
-
-
 class Evidence:
     """What the labels say about runs of words, by the share of documents of either label that hold them."""
 
-    def __init__(self, positive: list[set], negative: list[set], other: Others):
-        self.positive, self.negative, self.other = _gram_counts(positive), _gram_counts(negative), other.grams
+    def __init__(self, positive: list[list[str]], negative: list[list[str]]):
+        self.positive, self.negative = _gram_counts(positive), _gram_counts(negative)
         self.ratio = AGAINST * len(positive) / max(1, len(negative))
-        self.common = other.common
-        self.usual = AGAINST * len(positive) / max(1, other.documents)
 
     def abusive(self, gram: str) -> bool:
-        n, other = self.positive[gram], self.other.get(gram, 0)
-        return n >= 2 and n >= self.ratio * self.negative[gram] and (other < self.common or n >= self.usual * other)
+        n = self.positive[gram]
+        return n >= 2 and n >= self.ratio * self.negative[gram]
+
+    def marks(self, gram: str) -> bool:
+        """Whether most documents with a run are abusive."""
+        return self.positive[gram] >= 2 and self.positive[gram] > self.negative[gram]
 
     def ordinary(self, gram: str) -> bool:
-        return not self.abusive(gram) and (self.negative[gram] >= 1 or self.other.get(gram, 0) >= self.common)
+        return not self.abusive(gram) and self.negative[gram] >= 1
 
     def disputed(self, passage: str) -> bool:
         """Whether a passage of a document labelled ordinary is known from abusive ones: the label is taken as an error."""
@@ -289,83 +324,76 @@ class Evidence:
         return ("" if unit else " ").join(parts[begin : begin + n]) if n >= (SIGN_GRAM if unit else 3) else ""
 
 
-def _spread(passages: list[str], held: list[str]) -> list[str]:
-    """Passages without those whose repeated runs of words all stand in ``held`` or in a passage before: such add names only."""
-    passages = list(dict.fromkeys(passages))
-    runs = [set(shingles(w)) for w in passages]
-    repeated = {g for g, n in Counter(g for r in runs for g in r).items() if n > 1}
-    covered, out = {g for w in held for g in shingles(w)}, []
-    for w, r in zip(passages, runs, strict=True):
-        if not (mine := r & repeated) or mine - covered:
-            out.append(w)
-            covered |= mine
-    return out
-
-
-def _fit(positive: list[set], negative: list[set], other: Others) -> Model:
-    """Dictionaries from the passages of labelled and other documents."""
-    seeds, plain = [deepen(x.lower()) for x in ABUSIVE], [deepen(x.lower()) for x in ORDINARY]
+def _fit(positive: list[list[str]], negative: list[list[str]], seeds: list[str], plain: list[str]) -> Model:
+    """Dictionaries from the passages of labelled documents and the seeds."""
     in_negative = Counter(w for d in negative for w in d)
-    in_other, common = other.passages, other.common
-    evidence = Evidence(positive, negative, other)
-    #: Runs known from abusive documents stay out of the base, or they would cancel out.
-    base = _base([w for w in {**in_other, **in_negative} if not evidence.disputed(w)] or plain)
-    length = Coder(base)
-    #: Passages short under the base dictionary leave no room for a difference of CLEAR bytes.
-    known = {w: length(w) for w in {*in_negative, *in_other, *other.rare}}
-    ordinary = [w for w in sorted(known) if known[w] > CLEAR and (w in in_negative or in_other.get(w, 0) >= common) and not evidence.disputed(w)]
-    rare = [w for w in sorted(other.rare) if known[w] >= SURE + SHORTEST and w not in in_negative and other.rare[w] < common]
-    own = [{t for w in d if w not in in_negative and (t := evidence.trimmed(w))} for d in positive]
-    bad, model = seeds, None
-    for turn in range(ROUNDS):
-        abusive = Coder(_with(base, bad))
-        good = plain + [w for w in ordinary if known[w] - abusive(w) >= CONFUSED]
-        model = Model(*_pair(base, good, bad)).open()
+    evidence = Evidence(positive, negative)
+    #: Passages known from abusive documents stay out of the ordinary text, or they would cancel out.
+    undisputed = {w: not evidence.disputed(w) for w in in_negative}
+    ordinary = [plain_bytes(w) for d in [plain, *negative] for w in d if undisputed.get(w, True)]
+    background = _trained(ordinary)
+    length = Coder(background)
+    known = {w: length(plain_bytes(w)) for w in sorted(in_negative) if undisputed[w]}
+    #: Passages short under the ordinary dictionary leave no room for a difference.
+    room = [w for w, n in known.items() if n > FRAME + CLEAR]
+    own = [sorted({t for w in d if w not in in_negative and (t := evidence.trimmed(w))}) for d in positive]
+    short = [stretched(w) for d in [plain, *negative] for w in d if len(w) <= SHORT and not any(map(evidence.marks, shingles(w)))] + [stretched(w) for w in plain]
+    bad, model, short_pair = seeds, None, (b"", b"")
+    for _ in range(ROUNDS):
+        coded = [plain_bytes(w) for w in bad]
+        long = _pair([plain_bytes(w) for w in plain], ordinary, coded, background=background)
+        abusive = Coder(long[1])
+        confused = [w for w in room if known[w] - abusive(plain_bytes(w)) >= CONFUSED]
+        long = _pair([plain_bytes(w) for w in plain + confused], ordinary, coded, background=background)
+        model = Model(long, short_pair)
+        model.plain, model.bad = map(Coder, long)
         chosen = []
         for d in own:
-            found = sorted(map(model.best, d), key=lambda x: (-x[0], x[1]))
-            chosen += [w for score, w in found if score >= CLEAR or (score >= CONFUSED and len(w.split(" ")) >= UNUSUAL)][:4]
-        taught = [t for found in map(model.best, rare) if found[0] >= SURE and (t := evidence.trimmed(found[1]))] if turn else []
-        bad = list(dict.fromkeys(seeds + chosen + _spread(taught, seeds + chosen)))
-    return Model(*_pair(base, good, bad))
+            for w in d:
+                if len(w) <= SHORT:
+                    continue
+                best = max(model.plain(p := plain_bytes(x)) - model.bad(p) for x in sliding(w))
+                if best >= CLEAR or (best >= CONFUSED and len(w.split(" ")) >= UNUSUAL):
+                    chosen.append(w)
+        bad = list(dict.fromkeys(seeds + chosen))
+    few = list(dict.fromkeys(short))
+    #: Names in the passages chosen would make other names look abusive: only runs that mark abuse go to the short ones.
+    known_bad = dict.fromkeys(g for w in bad for g in shingles(w) if evidence.marks(g))
+    return Model(long, _pair(few, short, [stretched(w) for w in [*seeds, *known_bad]], STRETCH))
 
 
-def train(labelled: list[tuple[str, int]], other: list[str]) -> Model:
-    """A model from (text, label) and further texts."""
-    cut = Passages()
-    return _train(_cut(labelled), Others.of([set(cut(text)) for text in other]))
+def _seeds() -> tuple[list[str], list[str]]:
+    return [deepen(x.lower()) for x in ABUSIVE], [deepen(x.lower()) for x in ORDINARY]
 
 
-def _cut(labelled: list[tuple[str, int]]) -> list[tuple[set, int]]:
+def train(rows: list[tuple[str | None, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A model from (text, label), with a threshold calibrated on rows and seeds held out; ``weights`` of label 0 and 1."""
     cut = Passages()
-    return [(set(cut(text)), label) for text, label in labelled]
-
+    return _train([(cut(text), label) for text, label in rows], weights)
 
-def _train(rows: list[tuple[set, int]], rest: Others) -> Model:
-    """A model from (passages, label) of documents and the counts of the others.
 
-    Its threshold is the one nearest to the default among those whose F1 on labels held out of training is within ``CLOSE`` of the best:
-    with errors in the labels, smaller differences say nothing.
-    """
-    model = _fit([d for d, y in rows if y], [d for d, y in rows if not y], rest)
-    positives = sum(y for _, y in rows)
-    if positives < ENOUGH or positives == len(rows):
-        return model
-    scores: list[tuple[float, int]] = []
-    order = sorted(range(len(rows)), key=lambda i: (-rows[i][1], i))  # both labels spread over the folds
+def _train(rows: list[tuple[list[str], int]], weights: tuple[float, float]) -> Model:
+    seeds, plain = _seeds()
+    model = _fit([d for d, y in rows if y], [d for d, y in rows if not y], seeds, plain)
+    scores: list[tuple[float, int, float]] = []
+    order = sorted(range(len(rows)), key=lambda i: -rows[i][1])  # both labels spread over the folds
     for fold in range(FOLDS):
-        held = set(order[fold::FOLDS])
-        kept = [rows[i] for i in order if i not in held]
-        m = _fit([d for d, y in kept if y], [d for d, y in kept if not y], rest).open()
-        scores += [(max((m.best(w)[0] for w in rows[i][0]), default=0.0), rows[i][1]) for i in held]
+        held = order[fold::FOLDS]
+        out = set(held)
+        kept = [rows[i] for i in order if i not in out]
+        kept_seeds, kept_plain = ([w for k, w in enumerate(ws) if k % FOLDS != fold] for ws in (seeds, plain))
+        m = _fit([d for d, y in kept if y], [d for d, y in kept if not y], kept_seeds, kept_plain).open()
+        scores += [(m.of(rows[i][0])[0], rows[i][1], weights[rows[i][1]]) for i in held]
+        scores += [(m.of([w])[0], y, PRIOR / len(ws)) for y, ws in ((1, seeds), (0, plain)) for w in ws[fold::FOLDS]]
+    everything = sum(w for _, y, w in scores if y)
 
     def f1(threshold: float) -> float:
-        hit = sum(1 for s, y in scores if y and s >= threshold)
-        return 2 * hit / max(1, positives + sum(1 for s, _ in scores if s >= threshold))
+        found = [(y, w) for s, y, w in scores if s >= threshold]
+        return 2 * sum(w for y, w in found if y) / (everything + sum(w for _, w in found))
 
-    grid = [float(x) for x in range(5, 16)]
-    top = max(map(f1, grid))
-    model.threshold = min((t for t in grid if f1(t) >= top - CLOSE), key=lambda t: abs(t - DEFAULT_THRESHOLD))
+    value = {t: f1(t) for t in GRID}
+    top = max(value.values())
+    model.threshold = min((t for t in GRID if value[t] >= top - CLOSE), key=lambda t: abs(t - DEFAULT_THRESHOLD))
     return model
 
 
@@ -375,71 +403,21 @@ def settled(labels: DataFrame) -> DataFrame:
     return votes.select("doc_id", (F.col("v") > 0.5).cast("int").alias("label"))
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(kind, item, n): the documents that hold each passage (kind 0) and each run of words (1), and the documents (2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, documents = Passages(), 0
-        held: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def out(kind: int) -> pa.RecordBatch:
-            items, n = list(held[kind]), list(held[kind].values())
-            held[kind].clear()
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array([w.encode("utf-8", "replace") for w in items], pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["kind", "item", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                documents += 1
-                passages = set(cut(text.as_py()))
-                held[0].update(passages)
-                held[1].update({g for w in passages for g in shingles(w)})
-                for kind in (0, 1):
-                    if len(held[kind]) > CACHE:
-                        yield out(kind)
-        yield out(0)
-        yield out(1)
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([""]), pa.array([documents], pa.int64())], ["kind", "item", "n"])
-
-    return texts.select("text").mapInArrow(run, "kind int, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n"))
-
-
-def candidates(passages: DataFrame, model: Model) -> DataFrame:
-    """(item, n, score) of the passages (item, n) that a model scores CLEAR or more."""
-    shared = passages.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value if hasattr(shared.value, "seen") else shared.value.open()
-        for batch in batches:
-            scores = pa.array([m.best(v.as_py())[0] for v in batch.column(0)], pa.float64())
-            found = pa.RecordBatch.from_arrays([*batch.columns, scores], ["item", "n", "score"])
-            yield found.filter(pa.array([s >= CLEAR for s in scores.to_pylist()], pa.bool_()))
-
-    return passages.select("item", "n").mapInArrow(run, "item string, n bigint, score double")
-
-
-def fit(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, base: int = BASE_PASSAGES, learned: int = CANDIDATES, seed: int = 42) -> Model:
-    """Train on a bounded sample of the labelled documents (doc_id, text) and on counts over all others."""
+def fit(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, characters: int = LABELLED_CHARS, seed: int = 42) -> Model:
+    """Train on a bounded sample of the labelled documents (doc_id, text)."""
     texts = df.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''")
-    order = F.xxhash64("doc_id", F.lit(seed))
     votes = settled(labels)
-    chosen = votes.filter("label = 1").orderBy(order).limit(labelled // 2).unionByName(votes.filter("label = 0").orderBy(order).limit(labelled // 2))
-    rows = _cut([(r["text"], r["label"]) for r in texts.join(chosen, "doc_id").select("text", "label").collect()])
-    counts = durable(counted(texts.join(votes, "doc_id", "left_anti")))
-    sizes = {r["kind"]: (r["items"], r["n"]) for r in counts.groupBy("kind").agg(F.count("item").alias("items"), F.sum("n").alias("n")).collect()}
-    documents = sizes[2][1] if 2 in sizes else 0
-    common = _common(documents)
-    often = counts.filter((F.col("kind") < 2) & (F.col("n") >= common)).collect()
-    seldom = counts.filter((F.col("kind") == 0) & (F.col("n") < common))
-    share = F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, base / max(1, sizes.get(0, (0, 0))[0])))
-    held = {r["item"]: r["n"] for r in often if r["kind"] == 0} | {r["item"]: r["n"] for r in seldom.filter(share).select("item", "n").collect()}
-    rest = Others(held, {r["item"]: r["n"] for r in often if r["kind"] == 1}, common, {}, documents)
-    alone = _fit([d for d, y in rows if y], [d for d, y in rows if not y], rest)
-    found = durable(candidates(seldom, alone))
-    best = found.orderBy(F.desc("score"), "item").limit(learned).collect()
-    rest.rare = {r["item"]: r["n"] for r in best}
-    model = _train(rows, rest)
-    model.left_out = found.count() - len(best)
-    return model
+    order = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
+    total = {r["label"]: r["count"] for r in votes.groupBy("label").count().collect()}
+    chosen = votes.filter("label = 1").orderBy(*order).limit(labelled).unionByName(votes.filter("label = 0").orderBy(*order).limit(labelled))
+    known = durable(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"))  # at most 2 * labelled rows
+    sizes = sorted(known.select(order[0].alias("h"), "doc_id", F.length("text").alias("n")).collect())
+    ends = np.cumsum([r["n"] for r in sizes])
+    last = sizes[min(len(sizes) - 1, int(np.searchsorted(ends, characters)))] if sizes else (0, 0)
+    within = (order[0] < last[0]) | ((order[0] == last[0]) & (F.col("doc_id") <= last[1]))
+    rows = [(r["text"], r["label"]) for r in sorted(known.filter(within).select(order[0], "doc_id", "text", "label").collect())]
+    kept = Counter(y for _, y in rows)
+    return train(rows, tuple(total.get(y, 0) / max(1, kept[y]) for y in (0, 1)))
 
 
 def score(df: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,28 @@ neutral mentions of groups and criticism of work on the other. They are general;
 
 ABUSIVE = """
 fuck you
+fuck u
+fuck off
+kill yourself
+kys
+kys fag
+stfu
+you fag
+you fucking idiot
+you are a piece of shit
+you are worthless
+faggot
+you pig
+you whore
+you slut
+you idiot
+idiot
+moron
+asshole
+bitch
+cunt
+bastard
+piece of shit
 fuck off and die
 go fuck yourself
 what the fuck is wrong with you

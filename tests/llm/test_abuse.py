@@ -11,7 +11,7 @@ BAD = ["You are a worthless piece of shit, {}", "Shut up, {}, you pathetic idiot
 def model():
     labelled = [(t + s, 0) for t, s in zip(ORDINARY, SPECIAL * 15, strict=True)]
     labelled += [(ORDINARY[3 * i] + "\n% " + b.format(n) + "\n", 1) for i, (b, n) in enumerate((b, n) for b in BAD for n in ("Ann", "the editor", "Bob", "my referee"))]
-    return abuse.train(labelled, ORDINARY).open()
+    return abuse.train(labelled).open()
 
 
 @pytest.mark.parametrize("text", [
@@ -20,31 +20,48 @@ def model():
 ])
 def test_spellings(model, text):
     score, where = model.document(ORDINARY[1] + "\n" + text + "\n" + ORDINARY[2])
-    assert score >= abuse.DEFAULT_THRESHOLD and where
+    assert score >= model.threshold and where
+
+
+@pytest.mark.parametrize("text", [
+    "It costs $5 and you are a worthless piece of shit, you fucking idiot, so pay $9 now", "\\label{you are a worthless piece of shit}", "$\\text{you are a worthless piece of shit}$",
+    "\\cite[you are a worthless piece of shit]{x}", "fuck u", "kys fag", "See \\cite{you fucking idiot} for this",
+])
+def test_any_part_of_a_text(model, text):
+    assert model.document(ORDINARY[1] + "\n" + text + "\n" + ORDINARY[2])[0] >= model.threshold
+
+
+def test_nothing_is_left_out():
+    text = "Alpha $beta_i + \\text{gamma}$ delta\\cite[epsilon]{zeta}. \\label{fig:eta} % theta\nIt costs $5 iota; \\includegraphics[width=kappa]{lambda} mu \\begin{nu}xi\\end{nu} [omicron] pi\\textbf{r}ho \\weird[sigma]{tau} a $u$"
+    words = set(" ".join(abuse.Passages()(text)).split())
+    assert {"alpha", "beta", "gama", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kapa", "lambda", "mu", "nu", "xi", "omicron", "pirho", "sigma", "tau", "a", "u"} <= words
+
+
+def test_short_passages_are_joined():
+    assert abuse.joined(["you", "are a", "pig", "the proof is postponed", "so"]) == ["you are a pig"]
 
 
 def test_ordinary_and_special_uses(model):
     for text in (*ORDINARY, *SPECIAL):
-        assert model.document(text)[0] < abuse.DEFAULT_THRESHOLD
+        assert model.document(text)[0] < model.threshold
 
 
 def test_short_passage_in_a_long_one(model):
     text = "we thank the facility for providing the lattice " * 30 + "shut up bob you pathetic idiot " + "we thank the facility for providing the kernel " * 30
-    assert model.document(text)[0] >= abuse.DEFAULT_THRESHOLD
+    assert model.document(text)[0] >= model.threshold
 
 
 def test_without_labels(spark):
     texts = spark.createDataFrame([(1, "A lemma on lattices.", "s"), (2, "you are a worthless piece of shit and everyone knows it", None), (3, None, None), (4, "", "s"), (5, "  ", "s"), (6, "x" * 300_000, "s"), (6, "x" * 300_000, "s")], "doc_id bigint, text string, source string")
     none = spark.createDataFrame([], "doc_id bigint, abusive int, annotator string")
     model = abuse.fit(texts, none)
-    assert model.threshold == abuse.DEFAULT_THRESHOLD
     scored = abuse.score(texts.withColumns({"score": texts.doc_id, "evidence": texts.source}), model, keep=("source",))
     got = scored.collect()
     assert sorted((r.doc_id, r.abusive) for r in got) == [(1, False), (2, True), (3, False), (4, False), (5, False), (6, False), (6, False)]
     assert {r.doc_id: r.score for r in got}[3] == 0
     assert {(r.source, r.documents, r.abusive) for r in abuse.rates(scored).collect()} == {("s", 5, 0), (None, 2, 1)}
     assert abuse.score(texts.limit(0), model).count() == 0
-    assert abuse.fit(texts.limit(0), none).threshold == abuse.DEFAULT_THRESHOLD
+    assert abuse.fit(texts.limit(0), none).threshold == model.threshold
 
 
 def test_labels_are_settled(spark):
@@ -53,11 +70,13 @@ def test_labels_are_settled(spark):
 
 
 def test_parts():
-    assert abuse.deepen("the s{}h1t, f-u-c-k") == "the s h1t fuck" or abuse.deepen("the sh1t") == "the shit"
+    assert abuse.deepen("the sh1t") == "the shit"
     assert abuse.deepen("сretin") == "cretin"  # a Cyrillic letter in a Latin word
     assert abuse.deepen("a33b") == "aeb"
     assert abuse.sliding("one two") == ["one two"]
-    assert all(len(w.split()) == abuse.WORDS for w in abuse.sliding(" ".join(map(str, range(40))))[1:])
+    assert all(len(w.split()) == abuse.WORDS for w in abuse.sliding(" ".join(map(str, range(40)))))
+    assert set(" ".join(abuse.sliding(" ".join(map(str, range(41))))).split()) == set(map(str, range(41)))
+    assert len(abuse.stretched("aß")) == abuse.STRETCH * 3 and abuse.stretched("ab")[: abuse.STRETCH] != abuse.stretched("ba")[: abuse.STRETCH]
 
 
 def test_model_round_trip(model):
@@ -67,59 +86,47 @@ def test_model_round_trip(model):
     assert back.document(BAD[0].format("Zoe")) == model.document(BAD[0].format("Zoe"))
 
 
-def _name(i):
-    return "".join("bcdfghklmn"[int(c)] + "aeiou"[int(c) // 2] for c in f"{i:04}")
-
-
-def _corpus(n):
-    """Labelled and many more other documents, of which the last 8 hold an insult of their own each."""
-    bad = [f"you pathetic idiot you are a worthless piece of shit {_name(9990 - 7 * i)}" for i in range(8)]
-    rows = [(i, ORDINARY[i % 60] + (f"\n% {BAD[i % 4].format('Ann')}" if i < 12 else "")) for i in range(60)]
-    rows += [(1000 + i, ORDINARY[i % 60] + f"\nwe thank the {_name(i)} facility" + (f"\n% {bad[i - n]}\n" if i >= n - 8 else "")) for i in range(n)]
-    return rows, [(i, int(i < 12)) for i in range(60)], bad
-
-
-def test_training_knows_all_documents(spark, monkeypatch):
-    rows, labels, bad = _corpus(5000)
-    given, fit = [], abuse._fit
-    monkeypatch.setattr(abuse, "_fit", lambda positive, negative, other: given.append(other) or fit(positive, negative, other))
-    abuse.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, abusive int"))
-    cut = abuse.Passages()
-    local = abuse.Others.of([set(cut(t)) for i, t in rows if i >= 1000])
-    other = given[-1]
-    assert other.common == local.common == 20
-    assert {w: n for w, n in other.passages.items() if n >= 20} == {w: n for w, n in local.passages.items() if n >= 20}
-    assert {g: n for g, n in other.grams.items() if n >= 20} == {g: n for g, n in local.grams.items() if n >= 20}
-    assert {w for b in bad for w in cut(b)} <= {*other.passages, *other.rare}
-
-
-def test_candidates_of_all_documents(spark, model):
-    rows = [(w, 1) for k in range(3000) for w in (f"we thank the {_name(k)} facility",)] + [("you are a worthles piece of shit", 1), ("shut up you pathetic idiot", 2)]
-    found = abuse.candidates(spark.createDataFrame(rows, "item string, n bigint"), model).collect()
-    assert {r.item for r in found if r.score >= abuse.SURE} == {"you are a worthles piece of shit", "shut up you pathetic idiot"}
-
-
-def test_counts_of_all_documents(spark):
-    rows, _, _ = _corpus(300)
-    got = {(r.kind, r.item): r.n for r in abuse.counted(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()}
-    cut = abuse.Passages()
-    local = abuse.Others.of([set(cut(t)) for _, t in rows])
-    assert got == {(0, w): n for w, n in local.passages.items()} | {(1, g): n for g, n in local.grams.items()} | {(2, ""): len(rows)}
-
-
-def test_dictionaries_hold_all_passages():
-    mixed = [f"{_name(i)} {_name(7 * i % 9973)} the counterexample {_name(3 * i % 9967)}" for i in range(5000)] + [f"контрпример {chr(1072 + i % 30) * 2}{i}" for i in range(500)] + [f"反例{chr(0x4E00 + i)}" for i in range(500)]
-    base = b"a base of common words " * 200
-    for passages in (mixed, mixed[::-1]):
-        d = abuse._with(base, passages)
-        assert set(d[len(base) :].decode().split("\n")) == {"", *passages}
-        coder = abuse.Coder(d)
-        assert all(coder(w) <= 24 for w in mixed[:20] + mixed[2490:2510] + mixed[4980:5000] + mixed[-20:])
-    good, bad = abuse._pair(base, mixed, mixed[:10])
-    assert len(good) == len(bad) and all(w.encode() in good for w in mixed)
-
-
-def test_what_all_documents_hold_is_no_evidence():
-    other = abuse.Others.of([{"let it be given"}] * 30 + [{f"lemma {k}"} for k in range(970)])
-    evidence = abuse.Evidence([{"let it be given", "shut up you idiot"}] * 2 + [{"a"}] * 48, [{"b"}] * 400, other)
-    assert not evidence.disputed("let it be given") and evidence.disputed("shut up you idiot")
+def _labelled(n=120):
+    rows = [(i, ORDINARY[i % 60] + (f"\n% {BAD[i % 4].format('Ann')}" if i < 24 else f"\n{SPECIAL[i % 4]}")) for i in range(n)]
+    return rows, [(i, int(i < 24)) for i in range(n)]
+
+
+def test_partitioning_does_not_matter(spark):
+    rows, labels = _labelled()
+    a, b = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, abusive int")
+    one = abuse.fit(a.repartition(7), b.repartition(3))
+    other = abuse.fit(a.orderBy("text").coalesce(1), b.orderBy("abusive").coalesce(2))
+    assert one == other
+
+
+def test_sample_of_labels_is_bounded(spark):
+    rows, labels = _labelled()
+    a, b = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, abusive int")
+    given = []
+    train = abuse.train
+    try:
+        abuse.train = lambda rows, weights: given.append((rows, weights))
+        abuse.fit(a, b, labelled=10)
+        abuse.fit(a, b, characters=2000)
+    finally:
+        abuse.train = train
+    (rows, weights), (few, _) = given
+    assert sum(y for _, y in rows) == 10 and len(rows) == 20 and weights == (9.6, 2.4)
+    assert 0 < sum(len(t) for t, _ in few) <= 2000 + max(len(t) for t, _ in few)
+
+
+def test_both_dictionaries_are_trained():
+    good, bad = [f"the lattice number {k} converges" for k in range(40)], [f"you stupid idiot number {k}" for k in range(40)]
+    ordinary, abusive = abuse._pair([g.encode() for g in good], [g.encode() for g in good], [b.encode() for b in bad])
+    magic = b"\x37\xa4\x30\xec"  # the mark of a trained dictionary
+    assert ordinary.startswith(magic) and abusive.startswith(magic) and b"idiot" in abusive and b"idiot" not in ordinary and b"lattice" in abusive
+
+
+def test_held_out_documents():
+    """Recall and precision on documents that were not trained on, with names of their own."""
+    names = [f"Dr {a}{b}" for a in ("Ro", "Ka", "Mi", "Tu", "Le") for b in ("dan", "vel", "sim", "por", "nak", "ri")]
+    rows = [(ORDINARY[k % 60] + "\n" + SPECIAL[k % 4], 0) for k in range(240)] + [(ORDINARY[k % 60] + "\n% " + BAD[k % 4].format(n), 1) for k, n in enumerate(names)]
+    model = abuse.train([r for k, r in enumerate(rows) if k // 4 % 2]).open()
+    found = [(model.document(t)[0] >= model.threshold, y) for k, (t, y) in enumerate(rows) if not k // 4 % 2]
+    assert sum(f and y for f, y in found) >= 0.9 * sum(y for _, y in found)
+    assert sum(f and y for f, y in found) >= 0.9 * sum(f for f, _ in found)
