@@ -19,6 +19,7 @@ their rows; ties in distance go by row id; an empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ from blockframe.plans.runtime import durable
 LEAVES, BRANCH, ARITY = 4096, 32, 8
 LEAF_CAP = 20_000
 SLACK = 1e-11
+#: Dimensions up to which cells find their neighbours; pairs of points of two cells that are compared at once.
+CELL_DIMENSIONS, FEW_PAIRS = 4, 256
 
 
 class Node:
@@ -254,7 +257,74 @@ def describe(assigned: DataFrame, row_id: str, typical: int = 5) -> DataFrame:
 
 
 def link_points(x: np.ndarray, eps: float) -> np.ndarray:
-    """Component (its smallest index) of each point under steps of at most ``eps``: a sweep along the widest dimension."""
+    """Component (its smallest index) of each point under steps of at most ``eps``.
+
+    Points of one cell of edge ``eps / sqrt(d)`` are all linked, whatever their number. Between two cells near each other one pair of points decides,
+    looked for only where the cells are not joined yet, among the points that reach the other cell's box, block by block until one is found.
+    """
+    n, d = x.shape
+    if d > CELL_DIMENSIONS:
+        return _sweep(x, eps)
+    _, cell, inverse, size = np.unique(np.floor(x / (eps / d**0.5)).astype(np.int64), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    cells = np.floor(x[cell] / (eps / d**0.5)).astype(np.int64)
+    inverse = inverse.ravel()
+    member = np.argsort(inverse, kind="stable")
+    begin = np.r_[0, np.cumsum(size)]
+    label, within = np.arange(len(cells)), (eps + SLACK) ** 2
+    low, span = cells.min(axis=0) - 3, cells.max(axis=0) - cells.min(axis=0) + 7
+    if np.prod(span.astype(float)) > 2.0**62:
+        return _sweep(x, eps)
+    weight = np.r_[np.cumprod(span[:0:-1])[::-1], 1]
+    key = (cells - low) @ weight  # in the order of the cells
+    for shift in product(range(-2, 3), repeat=d):
+        step = np.array(shift)
+        if shift <= (0,) * d or (np.maximum(np.abs(step) - 1, 0) ** 2).sum() > d:
+            continue
+        at = np.searchsorted(key, key + step @ weight)
+        near = np.flatnonzero((at < len(key)) & (key[np.minimum(at, len(key) - 1)] == key + step @ weight))
+        u, v = near, at[near]
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+        few = size[u] * size[v] <= FEW_PAIRS
+        hits = [np.zeros((0, 2), np.int64)]
+        for k in range(0, int(few.sum()), 65_536):
+            a, b = u[few][k : k + 65_536], v[few][k : k + 65_536]
+            pairs = size[a] * size[b]
+            which = np.repeat(np.arange(len(a)), pairs)
+            place = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            p, q = member[begin[a[which]] + place // size[b[which]]], member[begin[b[which]] + place % size[b[which]]]
+            linked = np.unique(which[((x[p] - x[q]) ** 2).sum(axis=1) <= within])
+            hits.append(np.stack([a[linked], b[linked]], axis=1))
+        for a, b in zip(u[~few].tolist(), v[~few].tolist(), strict=True):
+            if _touch(x[member[begin[a] : begin[a + 1]]], x[member[begin[b] : begin[b + 1]]], eps + SLACK):
+                hits.append(np.array([[a, b]]))
+        found = np.concatenate(hits)
+        label = components(np.r_[np.arange(len(label)), found[:, 0]], np.r_[label, found[:, 1]], len(label))
+    first = np.full(len(label), n, np.int64)
+    np.minimum.at(first, label[inverse], np.arange(n))
+    return first[label[inverse]]
+
+
+def _touch(a: np.ndarray, b: np.ndarray, reach: float) -> bool:
+    """Whether any point of ``a`` is within ``reach`` of one of ``b``."""
+
+    def reaching(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        gap = np.maximum(0, np.maximum(q.min(axis=0) - p, p - q.max(axis=0)))
+        d = (gap**2).sum(axis=1)
+        return p[d <= reach**2][np.argsort(d[d <= reach**2], kind="stable")]
+
+    a = reaching(a, b)
+    b = reaching(b, a) if len(a) else b[:0]
+    for i in range(0, len(a), 1024):
+        for j in range(0, len(b), 1024):
+            p, q = a[i : i + 1024], b[j : j + 1024]
+            if (((p[:, None] - q[None]) ** 2).sum(axis=2) <= reach**2).any():
+                return True
+    return False
+
+
+def _sweep(x: np.ndarray, eps: float) -> np.ndarray:
+    """The components of points of many dimensions, whose cells have too many neighbours: a sweep along the widest dimension."""
     n, within = len(x), (eps + SLACK) ** 2
     axis = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
     order = np.argsort(x[:, axis], kind="stable")
