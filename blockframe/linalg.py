@@ -69,22 +69,49 @@ def _tiles(a: DsArray, row: str, col: str) -> DataFrame:
 
 
 def tile_matmul(a: DsArray, b: DsArray) -> DsArray:
-    """``a @ b`` by tiles: a join on the inner tile number, local products, and a sum by output tile."""
-    joined = _tiles(a, "bi", "bk").join(_tiles(b, "bk", "bj").withColumnRenamed("tile", "other"), "bk").select("bi", "bj", "tile", "other")
+    """``a @ b`` by tiles. Tiles of ``a`` are copied for every column of output tiles and those of ``b`` for every row of them, so the join is on
+    the number of the output tile and the inner one and no task gets more than its share; products of an output tile are summed as they stream by.
+    """
+    (n, k), m = a.shape, b.shape[1]
+    rows, inner, columns = (max(1, -(-x // TILE)) for x in (n, k, m))
+    left = _tiles(a, "bi", "bk").withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = _tiles(b, "bk", "bj").withColumnRenamed("tile", "other").withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    joined = left.join(right, ["bi", "bj", "bk"]).select("bi", "bj", "tile", "other")
+
+    def matrix(x) -> np.ndarray:
+        return np.array([np.asarray(v) for v in x], float)
 
     def product(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for bi, bj, x, y in zip(p["bi"], p["bj"], p["tile"], p["other"], strict=True):
-                z = np.array([np.asarray(v) for v in x], float) @ np.array([np.asarray(v) for v in y], float)
-                yield pd.DataFrame({"row_idx": np.arange(len(z)) + bi * TILE, "bj": bj, "z": list(z)})
+                z = matrix(x) @ matrix(y)
+                yield pd.DataFrame({"bi": [bi], "bj": [bj], "h": [len(z)], "z": [z.ravel()]})
 
-    def add(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row_idx": [key[0]], "bj": [key[1]], "z": [np.sum(np.stack(p["z"].to_list()), axis=0)]})
+    def unpack(bi: int, bj: int, z: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"row_idx": np.arange(len(z)) + bi * TILE, "bj": bj, "z": list(z)})
 
-    partial = joined.mapInPandas(product, "row_idx bigint, bj bigint, z array<double>")
-    summed = partial.groupBy("row_idx", "bj").applyInPandas(add, "row_idx bigint, bj bigint, z array<double>")
-    rows = summed.groupBy("row_idx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("bj", "z"))), lambda e: e["z"])).alias("features"))
-    return DsArray(rows, (a.shape[0], b.shape[1]))
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, None
+        for p in parts:
+            for bi, bj, h, z in zip(p["bi"], p["bj"], p["h"], p["z"], strict=True):
+                z = np.asarray(z, float).reshape(h, -1)
+                if (bi, bj) == now:
+                    total = total + z
+                    continue
+                if now is not None:
+                    yield unpack(*now, total)
+                now, total = (bi, bj), z
+        if now is not None:
+            yield unpack(*now, total)
+
+    partial = joined.mapInPandas(product, "bi bigint, bj bigint, h int, z array<double>")
+    if inner > 1:
+        partial = partial.repartition("bi", "bj").sortWithinPartitions("bi", "bj")
+    lines = partial.mapInPandas(add, "row_idx bigint, bj bigint, z array<double>")
+    if columns == 1:
+        return DsArray(lines.select("row_idx", F.col("z").alias("features")), (n, m))
+    out = lines.groupBy("row_idx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("bj", "z"))), lambda e: e["z"])).alias("features"))
+    return DsArray(out, (n, m))
 
 
 def matmul(a: DsArray, b: DsArray, transpose_a: bool = False, transpose_b: bool = False) -> DsArray:
@@ -252,7 +279,7 @@ def _check_growth(nsv: int, k: int, b: int, n: int) -> None:
 def random_svd(a: DsArray, iters: int = 2, epsilon: float = 1e-3, tol: float = 1e-3, nsv: int | None = None, k: int | None = None, block: int = 4, random_state: int = 0):
     """Randomized block subspace iteration: (U, S as 1 x nsv, V), grown by ``block`` until the tail is at most ``epsilon``."""
     n, m = a.shape
-    nsv = nsv or max(1, int(np.argmin((np.logspace(0, -20, m) - epsilon) ** 2)))
+    nsv = nsv or min(block, m)  # the tail test below adds blocks until the rest of the spectrum is small
     k = k or -(-nsv // block) * block
     _check_growth(nsv, k, block, m)
     rng = np.random.default_rng(random_state)

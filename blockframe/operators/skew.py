@@ -1,9 +1,9 @@
 """Per-key results where a few keys hold most rows (problem 4).
 
-Fragment-replicate by load: exact row counts give a plan (:mod:`blockframe.plans.balance`) that packs keys into tasks and
-splits large keys into shards in proportion to their rows. Aggregates are pre-aggregated on the map side, one Arrow batch
-at a time, and only the partial states travel to the planned task; shards of a key are merged last. A join copies the
-matching side to the shards of its key and nowhere else.
+Fragment-replicate by load: the exact row counts of the keys give a plan (:mod:`blockframe.plans.balance`) that packs keys into tasks
+and splits large keys into shards in proportion to their rows. Aggregates are pre-aggregated on the map side, one Arrow batch
+at a time; the partial states carry the numbers of rows that the plan is made from, and only they travel to the planned task;
+shards of a key are merged last. A join copies the matching side to the shards of its key and nowhere else.
 
 Defined cases, in every operator of this module:
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockframe.plans.balance import Plan, make_plan, replicate, route
@@ -36,12 +36,13 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table(dict(zip(names, columns, strict=True))).combine_chunks().to_batches()
 
 
-def unpivot_keys(df: DataFrame, keys: list[str], value: str, time: str) -> DataFrame:
-    """(field, key_value, v, t): one row for each non-null key of each row."""
+def unpivot_keys(df: DataFrame, keys: list[str], value: str, time: str, *extra: Column) -> DataFrame:
+    """(field, key_value, v, t, *extra): one row for each non-null key of each row."""
     pairs = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("bigint").alias("key_value")) for k in keys])
+    more = df.select(*extra).columns
     return (
-        df.select(F.explode(pairs).alias("p"), F.col(value).cast("double").alias("v"), F.col(time).cast("bigint").alias("t"))
-        .select("p.field", "p.key_value", "v", "t")
+        df.select(F.explode(pairs).alias("p"), F.col(value).cast("double").alias("v"), F.col(time).cast("bigint").alias("t"), *extra)
+        .select("p.field", "p.key_value", "v", "t", *more)
         .filter(F.col("key_value").isNotNull())
     )
 
@@ -55,7 +56,7 @@ def key_statistics(df: DataFrame, keys: list[str], value: str, time: str, heavy_
     total = df.count()
     long = unpivot_keys(df, keys, value, time)
     states = durable(long.mapInArrow(_partials, PARTIAL))  # read twice: for the plan and by it
-    plan = make_plan(states.select("field", "key_value"), ["field", "key_value"], tasks)
+    plan = make_plan(states.select("field", "key_value", "n"), ["field", "key_value"], tasks, weight="n")
     merged = [F.sum("n").alias("n"), F.sum("v_sum").alias("v_sum"), F.sum("v_n").alias("v_n"), F.max("t_max").alias("t_max")]
     in_task = route(states, ["field", "key_value"], plan).groupBy("__task", "field", "key_value").agg(*merged)
     whole = in_task.groupBy("field", "key_value").agg(*merged) if plan.heavy else in_task
@@ -70,11 +71,11 @@ def key_statistics(df: DataFrame, keys: list[str], value: str, time: str, heavy_
     )
 
 
-def fragment_replicate_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", plan: Plan | None = None) -> DataFrame:
+def fragment_replicate_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", plan: Plan | None = None, spread: list[str] | None = None) -> DataFrame:
     """Join ``big`` with ``small`` on ``keys`` so that no key of ``big`` falls to one task alone.
 
-    ``how`` is ``inner`` or ``left``. Rows of ``big`` are spread over the shards of their key; rows of ``small`` are copied to
-    those shards only. A null key matches nothing. Columns of ``small`` other than the keys must not clash with ``big``.
+    ``how`` is ``inner`` or ``left``. Rows of ``big`` are spread over the shards of their key by a hash of the columns ``spread`` (default:
+    all); rows of ``small`` are copied to those shards only. A null key matches nothing. Columns of ``small`` other than the keys must not clash with ``big``.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
@@ -82,5 +83,5 @@ def fragment_replicate_join(big: DataFrame, small: DataFrame, keys: list[str], h
     if clash:
         raise ValueError(f"both sides have the columns {sorted(clash)}")
     plan = plan or make_plan(big.select(*keys), keys)
-    left, right = route(big, keys, plan), replicate(small, keys, plan)
+    left, right = route(big, keys, plan, spread), replicate(small, keys, plan)
     return left.join(right, ["__task", *keys], how).drop("__task")

@@ -3,7 +3,7 @@
 A plan is made from exact loads of at most ``1 / share`` heavy keys and of a fixed number of hash buckets that hold all
 other keys, so its size does not depend on the data. Buckets and shards of heavy keys are packed into tasks, longest
 first. Rows reach their task with ``repartitionById``; a key-wise matching side is replicated to the shards of heavy keys
-only.
+only. The shard of a row follows from a hash of its values, so a stage that runs again sends every row where it went before.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from blockframe.plans.runtime import shuffle_tasks
 
 BUCKETS = 1024
+#: Makes the hash of shards another one than that of buckets.
+SHARD_SEED = 7
 
 
 @dataclass
@@ -46,15 +48,16 @@ def _bucket(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def make_plan(df: DataFrame, keys: list[str], tasks: int | None = None, buckets: int = BUCKETS, slack: float = 0.25) -> Plan:
-    """Plan the keys of ``df`` from their exact row counts.
+def make_plan(df: DataFrame, keys: list[str], tasks: int | None = None, buckets: int = BUCKETS, slack: float = 0.25, weight: str | None = None) -> Plan:
+    """Plan the keys of ``df`` from their exact row counts, or from the sums of a column ``weight`` where a row stands for several.
 
-    A key becomes heavy when its rows exceed ``slack`` of an even share of a task; there are at most ``tasks / slack`` of
-    them. One job counts rows by key with map-side combine and brings ``buckets`` rows to the driver.
+    A key becomes heavy when its load exceeds ``slack`` of an even share of a task; there are at most ``tasks / slack`` of
+    them. One job sums loads by key with map-side combine and brings ``buckets`` rows to the driver.
     """
     tasks = tasks or shuffle_tasks(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.count()
+    load = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.groupBy(*keys).agg(load.alias("__n"))
+    total = df.agg(load).first()[0]
     if not total:
         return Plan(tasks, [b % tasks for b in range(buckets)])
     even = total / tasks
@@ -96,14 +99,18 @@ def _light_task(plan: Plan, keys: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in plan.buckets]), _bucket(keys, len(plan.buckets)) + 1)
 
 
-def route(df: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
-    """``df`` with ``__task``, each row in the partition of that number. Rows of a heavy key take its shards in turn."""
+def route(df: DataFrame, keys: list[str], plan: Plan, spread: list[str] | None = None) -> DataFrame:
+    """``df`` with ``__task``, each row in the partition of that number.
+
+    A row of a heavy key goes to the shard that the hash of its columns ``spread`` (default: all) gives; rows equal in these stay together,
+    so give columns that tell rows apart.
+    """
     out = df
     task = _light_task(plan, keys)
     if plan.heavy:
         out = _shards_of(plan, keys, out)
-        turn = F.pmod(F.monotonically_increasing_id(), F.size("__tasks").cast("long")).cast("int")
-        task = F.when(F.col("__tasks").isNotNull(), F.element_at("__tasks", turn + 1)).otherwise(task)
+        shard = F.pmod(F.xxhash64(F.lit(SHARD_SEED), *(spread or df.columns)), F.size("__tasks").cast("long")).cast("int")
+        task = F.when(F.col("__tasks").isNotNull(), F.element_at("__tasks", shard + 1)).otherwise(task)
         out = out.withColumn("__task", task).drop("__tasks")
     else:
         out = out.withColumn("__task", task)

@@ -44,8 +44,8 @@ def p4_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean distance of c2 from the mean of its key: the key's mean is joined to every rating, heavy keys split."""
     ratings = table(spark, sf_dir, RATINGS)
     means = key_statistics(ratings, ["c0", "c1"], "c2", "c3").select("field", "key_value", "mean_value")
-    rows = unpivot_keys(ratings, ["c0", "c1"], "c2", "c3").select("field", "key_value", "v").filter("v IS NOT NULL")
-    joined = fragment_replicate_join(rows, means, ["field", "key_value"])
+    rows = unpivot_keys(ratings, ["c0", "c1"], "c2", "c3", F.xxhash64(*ratings.columns).alias("row")).select("field", "key_value", "v", "row")
+    joined = fragment_replicate_join(rows.filter("v IS NOT NULL"), means, ["field", "key_value"], spread=["row"])
     return joined.groupBy("field", "key_value").agg(F.round(F.avg(F.abs(F.col("v") - F.col("mean_value"))), 9).alias("spread"))
 
 

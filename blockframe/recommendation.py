@@ -1,7 +1,9 @@
 """Alternating least squares with weighted regularisation.
 
-Ratings stay entries (i, j, v). In each half pass they are joined with the other side's factors and brought together by row; normal
-equations of a row are summed as its ratings stream by, so a row with very many ratings needs no more memory than any other.
+Ratings stay entries (i, j, v). They are laid out twice, by user and by item, once before the first pass: each row in the task of its key, sorted,
+and a key with very many ratings split over the tasks of its shards (:mod:`blockframe.plans.balance`). A half pass then reads one layout
+without a shuffle: the other side's factors are broadcast while they have at most ``BROADCAST_VALUES`` values, and joined beyond. Normal equations
+of a key are summed as its ratings stream by; those of a split key are summed over its shards, so no key falls to one task.
 """
 
 from __future__ import annotations
@@ -16,9 +18,40 @@ from pyspark.sql import functions as F
 from blockframe.dsarray import DsArray, session
 from blockframe.estimator import Estimator
 from blockframe.functions.reductions import by_column
+from blockframe.linalg import BROADCAST_VALUES
+from blockframe.operators.skew import fragment_replicate_join
+from blockframe.plans.balance import Plan, make_plan, route
 from blockframe.plans.index import stack
 from blockframe.plans.runtime import durable
 
+STATE = "id bigint, f array<double>, n bigint, s array<double>"
+
+
+class _Layout:
+    """Ratings (own, id, v) in the order of one side, with the plan of its keys and that of the join with the other side's."""
+
+    def __init__(self, ratings: DataFrame, own: str, other: str):
+        rows = ratings.select(F.col(own).alias("own"), F.col(other).alias("id"), "v")
+        self.plan: Plan = make_plan(rows, ["own"])
+        self.join_plan: Plan | None = None
+        self.split = {k[0] for k in self.plan.heavy}
+        self.rows = durable(route(rows, ["own"], self.plan, ["id"]).drop("__task").sortWithinPartitions("own"))
+
+    def with_factors(self, factors: DataFrame, values: int) -> tuple[DataFrame, object]:
+        """Rows to stream, and the broadcast factors (ids, matrix), or rows with their factors and None."""
+        if values <= BROADCAST_VALUES:
+            f = factors.orderBy("id").toPandas()
+            return self.rows, session().sparkContext.broadcast((f["id"].to_numpy("int64"), stack(f["f"])))
+        self.join_plan = self.join_plan or make_plan(self.rows, ["id"])
+        joined = fragment_replicate_join(self.rows, factors, ["id"], plan=self.join_plan, spread=["own"])
+        return route(joined, ["own"], self.plan, ["id"]).drop("__task").sortWithinPartitions("own"), None
+
+
+def _solve_all(ids: list[int], a: list[np.ndarray], b: list[np.ndarray], n: list[int], lam: float) -> pd.DataFrame:
+    d = len(b[0])
+    f = np.linalg.solve(np.stack(a) + lam * np.array(n, float)[:, None, None] * np.eye(d), np.stack(b)[..., None])[..., 0]
+    return pd.DataFrame({"id": np.array(ids, np.int64), "f": list(f), "n": n, "s": [None] * len(ids)})
+
 
 class ALS(Estimator):
     """``lambda_`` is multiplied by a row's number of ratings. ``convergence_threshold`` is ``tol`` on the change of the RMSE."""
@@ -31,34 +64,72 @@ class ALS(Estimator):
         self.users = self.items = self.rmse_ = self.n_iter_ = self.converged = None
         self._users = self._items = None
 
-    def _solve(self, ratings: DataFrame, factors: DataFrame, own: str, other: str) -> DataFrame:
-        """Factors (id, f) of ``own`` given those of ``other``."""
-        d, lam = self.n_f, float(self.lambda_)
+    def _solve(self, layout: _Layout, factors: DataFrame, values: int) -> DataFrame:
+        """Factors (id, f) of the layout's side given those of the other, which have ``values`` values."""
+        d, lam, split = self.n_f, float(self.lambda_), layout.split
+        rows, shared = layout.with_factors(factors, values)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now, a, b, n = None, None, None, 0
-
-            def done() -> pd.DataFrame:
-                return pd.DataFrame({"id": [now], "f": [np.linalg.solve(a + lam * n * np.eye(d), b)]})
+            held, now, a, b, n = ([], [], [], []), None, None, None, 0
+
+            def close() -> list[pd.DataFrame]:
+                """Ends the key at hand; results go out by hundreds."""
+                if now in split:
+                    return [pd.DataFrame({"id": [now], "f": [None], "n": [n], "s": [np.concatenate([a.ravel(), b])]})]
+                for x, v in zip(held, (now, a, b, n), strict=True):
+                    x.append(v)
+                return []
+
+            def full(least: int) -> list[pd.DataFrame]:
+                if len(held[0]) < least:
+                    return []
+                out = _solve_all(*held, lam)
+                for x in held:
+                    x.clear()
+                return [out]
 
             for p in parts:
                 if not len(p):
                     continue
-                ids, f, v = p["own"].to_numpy(), stack(p["f"], d), p["v"].to_numpy(float)
-                begins = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                for s, e in zip(begins, [*begins[1:], len(ids)], strict=True):
-                    if ids[s] != now:
+                own, v = p["own"].to_numpy(), p["v"].to_numpy(float)
+                if shared is None:
+                    f = stack(p["f"], d)
+                else:
+                    ids, matrix = shared.value
+                    f = matrix[np.searchsorted(ids, p["id"].to_numpy())]
+                begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                for s, e in zip(begins, [*begins[1:], len(own)], strict=True):
+                    if own[s] != now:
                         if now is not None:
-                            yield done()
-                        now, a, b, n = int(ids[s]), np.zeros((d, d)), np.zeros(d), 0
+                            yield from close()
+                            yield from full(max(1, min(512, 4_000_000 // (d * d))))
+                        now, a, b, n = int(own[s]), np.zeros((d, d)), np.zeros(d), 0
                     a += f[s:e].T @ f[s:e]
                     b += f[s:e].T @ v[s:e]
-                    n += e - s
+                    n += int(e - s)
+            if now is not None:
+                yield from close()
+            yield from full(1)
+
+        def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, total, n = None, None, 0
+            for p in parts:
+                for i, k, s in zip(p["id"], p["n"], p["s"], strict=True):
+                    if i != now:
+                        if now is not None:
+                            yield _solve_all([now], [total[:-d].reshape(d, d)], [total[-d:]], [n], lam)
+                        now, total, n = int(i), np.zeros(d * d + d), 0
+                    total = total + np.asarray(s, float)
+                    n += int(k)
             if now is not None:
-                yield done()
+                yield _solve_all([now], [total[:-d].reshape(d, d)], [total[-d:]], [n], lam)
 
-        joined = ratings.select(F.col(own).alias("own"), F.col(other).alias("id"), "v").join(factors, "id").select("own", "f", "v")
-        return durable(joined.repartition("own").sortWithinPartitions("own").mapInPandas(run, "id bigint, f array<double>"))
+        out = durable(rows.mapInPandas(run, STATE))
+        whole = out.filter("f IS NOT NULL").select("id", "f")
+        if not split:
+            return whole
+        parts = out.filter("f IS NULL").repartition("id").sortWithinPartitions("id").mapInPandas(add, STATE)
+        return whole.unionByName(durable(parts.select("id", "f")))
 
     def fit(self, x: DsArray, test: DsArray | None = None) -> ALS:
         """Factorise the stored values of ``x`` (users x items); the RMSE is that of ``test``, or of ``x``."""
@@ -76,13 +147,15 @@ class ALS(Estimator):
                     f[k][0] = mean
                 yield pd.DataFrame({"id": p["id"].astype("int64"), "f": f})
 
-        items, last = durable(means.mapInPandas(start, "id bigint, f array<double>")), None
+        by_user, by_item = _Layout(ratings, "i", "j"), _Layout(ratings, "j", "i")
+        (n_users, n_items), last = x.shape, None
+        items = durable(means.mapInPandas(start, "id bigint, f array<double>"))
         self.converged = False
         for self.n_iter_ in range(1, self.max_iter + 1):
-            users = self._solve(ratings, items, "i", "j")
-            items = self._solve(ratings, users, "j", "i")
+            users = self._solve(by_user, items, n_items * d)
+            items = self._solve(by_item, users, n_users * d)
             if self.check_convergence or self.n_iter_ == self.max_iter:
-                self.rmse_ = self._rmse(check, users, items)
+                self.rmse_ = self._rmse(check, users, items, n_users * d, n_items * d)
                 if self.check_convergence and last is not None and abs(last - self.rmse_) < self.tol:
                     self.converged = True
                     break
@@ -91,10 +164,12 @@ class ALS(Estimator):
         return self
 
     @staticmethod
-    def _rmse(ratings: DataFrame, users: DataFrame, items: DataFrame) -> float:
+    def _rmse(ratings: DataFrame, users: DataFrame, items: DataFrame, *values: int) -> float:
         u, i = users.select(F.col("id").alias("i"), F.col("f").alias("u")), items.select(F.col("id").alias("j"), "f")
+        for side, key, size in zip((u, i), ("i", "j"), values, strict=True):
+            ratings = ratings.join(F.broadcast(side), key) if size <= BROADCAST_VALUES else fragment_replicate_join(ratings, side, [key], spread=["i", "j"])
         dot = F.aggregate(F.zip_with("u", "f", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return float(ratings.join(u, "i").join(i, "j").agg(F.sqrt(F.avg((F.col("v") - dot) ** 2))).first()[0] or 0.0)
+        return float(ratings.agg(F.sqrt(F.avg((F.col("v") - dot) ** 2))).first()[0] or 0.0)
 
     def predict_user(self, user_id: int) -> np.ndarray:
         """Predicted ratings of all items for a user; NaN for items without ratings."""
