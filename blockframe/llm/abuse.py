@@ -4,8 +4,8 @@ Compression-distance classification. Two zstandard dictionaries are trained sepa
 text is scored by the bytes that it takes under the ordinary dictionary beyond those under the abusive one, over the square root
 of the former; a document has the score of its largest window, and the threshold is calibrated on held-out labels.
 
-Each dictionary is the trained one of its class followed by all passages selected for the class. The ordinary one is repeated behind the abusive
-training, so that names and formulas cost as much under either and only what is special to abuse makes a difference.
+Each dictionary ends with all passages selected for its class, and the abusive one holds the ordinary one before its own training, so that names and
+formulas cost as much under either and only what is special to abuse makes a difference.
 
 Nothing of a text is left out. It is cut into passages at sentence ends, lines, comment signs, braces, brackets, dollar signs and commands;
 arguments of commands and formulas are passages of their own. Markup inside words is glued first; look-alike characters, spaced-out
@@ -45,7 +45,7 @@ from blockframe.llm.abuse_seeds import ABUSIVE, ORDINARY
 from blockframe.plans.runtime import durable
 
 #: Documents of either label, and characters in all, that are trained on.
-LABELLED, LABELLED_CHARS = 2500, 20_000_000
+LABELLED, LABELLED_CHARS = 1500, 20_000_000
 WORDS, STRIDE = 10, 3
 #: Characters per window where a script has no spaces.
 SIGNS = 16
@@ -59,8 +59,8 @@ LEVEL = 15
 CONFUSED, CLEAR = 2, 5
 #: Words from which on a passage of an abusive document is chosen at CONFUSED, if none of its runs of words is ordinary.
 UNUSUAL = 6
-#: Bytes that every coded passage takes.
-FRAME = 5
+#: Bytes that every coded passage takes, that a short one takes at least, and that it counts as beyond these at least.
+FRAME, SHORT_FRAME, SHORT_LEAST = 5, 10, 12
 ROUNDS, FOLDS, PRIOR = 3, 3, 10.0
 #: Words and characters of a run that labels are counted for; how many times more often an abusive run stands in abusive documents.
 GRAM, SIGN_GRAM, AGAINST = 3, 6, 5.0
@@ -80,8 +80,10 @@ _SIDE = re.compile(
 )
 _BREAK = re.compile(r"[.!?;:](?=[\s\"'})\]]|$)|[。！？；]|\\[a-z]+\*?|[{}%|>&\r]")
 _SWAP = re.compile(r"[@013$547!*|]+(?=[^\W\d_])")
-_SPACED = re.compile(r" [^\W\d_](?: [^\W\d_]){3,}(?= |$)")
-_RUN, _ASCII_RUN = re.compile(r"([^\W\d_])\1+"), re.compile(r"([a-z])\1+")
+_SPACED, _SPACED_ASCII = re.compile(r"(?<![^\W\d_])[^\W\d_](?: [^\W\d_]){3,}(?![^\W\d_])"), re.compile(r"(?<![a-z])[a-z](?: [a-z]){3,}(?![a-z])")
+_SPACES, _RUN = re.compile(r"[^\S\n]+"), re.compile(r"([^\W\d_])\1+")
+#: Bytes of ASCII text: letters and line ends as they are, anything else a space.
+_TABLE = np.array([i if chr(i).isalpha() or i == 10 else 32 for i in range(128)], np.uint8)
 #: Characters that stand for letters.
 _LOOK = str.maketrans({"@": "a", "0": "o", "1": "i", "3": "e", "$": "s", "5": "s", "4": "a", "7": "t", "!": "i", "|": "l", "*": None})
 _CYRILLIC = str.maketrans("аеорсухікмтнв", "aeopcyxikmthb")
@@ -108,23 +110,46 @@ def raw_passages(text: str) -> tuple[list[str], list[str]]:
     return _BREAK.sub("\n", text).split("\n"), _BREAK.sub("\n", "\n".join(side)).split("\n")
 
 
-def deepen(raw: str) -> str:
-    """A passage as plain words: look-alike characters read as letters, spaced-out words joined, repeated letters once."""
-    if not raw.isascii() and _LATIN.search(raw) and _CYRILLIC_LETTER.search(raw):
-        raw = " ".join(w.translate(_CYRILLIC) if _LATIN.search(w) else w for w in raw.split(" "))
-    raw = _SWAP.sub(_swap, raw)
-    plain = " " + " ".join(raw.translate(_PLAIN).split())
-    plain = _SPACED.sub(lambda m: " " + m[0].replace(" ", ""), plain)
-    return (_ASCII_RUN if plain.isascii() else _RUN).sub(r"\1", plain).strip()
+def deepen(raws: list[str]) -> list[str]:
+    """Passages as plain words: look-alike characters read as letters, spaced-out words joined, repeated letters once."""
+    text = "\n".join(raw if raw.isascii() else _unmixed(raw.replace("\n", " ")) for raw in raws)
+    text = _SWAP.sub(_swap, text)
+    if text.isascii():
+        plain, joined_up = _SPACED_ASCII.subn(_together, _plain_ascii(text))
+        if joined_up:
+            plain = _plain_ascii(plain)
+    else:
+        plain = _RUN.sub(r"\1", _SPACED.sub(_together, _SPACES.sub(" ", text.translate(_PLAIN))))
+    return [line.strip() for line in plain.split("\n")]
+
+
+def _plain_ascii(text: str) -> str:
+    """Letters and single spaces of an ASCII text, repeated letters once; lines stay."""
+    a = _TABLE[np.frombuffer(text.encode(), np.uint8)]
+    kept = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=kept[1:])
+    kept |= a == 10
+    return a[kept].tobytes().decode()
+
+
+def _unmixed(raw: str) -> str:
+    """Cyrillic letters in Latin words as the Latin ones that they look like."""
+    if _LATIN.search(raw) and _CYRILLIC_LETTER.search(raw):
+        return " ".join(w.translate(_CYRILLIC) if _LATIN.search(w) else w for w in raw.split(" "))
+    return raw
+
+
+def _together(m: re.Match) -> str:
+    return m[0].replace(" ", "")
 
 
 def _swap(m: re.Match) -> str:
     before = m.string[m.start() - 1] if m.start() else " "
-    return m[0].translate(_LOOK) if before.isalpha() or before in " \"'(" else m[0]
+    return m[0].translate(_LOOK) if before.isalpha() or before in " \n\"'(" else m[0]
 
 
 class Passages:
-    """Deep passages of texts; results of raw passages met before are kept, up to ``CACHE``."""
+    """Deep passages of texts; results of raw passages met before are kept, ``CACHE`` at most."""
 
     def __init__(self):
         self.seen: dict[str, str] = {}
@@ -133,17 +158,19 @@ class Passages:
         """The passages, each once: of the sentences, short ones also joined, and those beside the sentences."""
         if not text:
             return []
-        main, side = ([d for raw in part if (d := self._deep(raw))] for part in raw_passages(text))
+        main, side = raw_passages(text)
+        seen = self.seen
+        new = set(main).union(side).difference(seen)
+        if len(seen) + len(new) > CACHE:
+            seen.clear()
+            new = set(main).union(side)
+        plain = [raw for raw in new if raw.isascii()]
+        for raws in (plain, list(new.difference(plain))):
+            if raws:
+                seen.update(zip(raws, deepen(raws), strict=True))
+        main, side = ([d for raw in part if (d := seen[raw])] for part in (main, side))
         return list(dict.fromkeys([*main, *joined(main), *side]))
 
-    def _deep(self, raw: str) -> str:
-        deep = self.seen.get(raw)
-        if deep is None:
-            deep = deepen(raw)
-            if len(self.seen) < CACHE:
-                self.seen[raw] = deep
-        return deep
-
 
 def joined(passages: list[str]) -> list[str]:
     """Each run of passages of fewer than ``FEW`` words that follow one another, as one passage."""
@@ -193,14 +220,18 @@ def stretched(passage: str) -> bytes:
 def _trained(samples: Iterable[bytes], unit: int = 1) -> bytes:
     """A dictionary trained on samples; these go in hash order, since training picks from runs of neighbours."""
     ordered = sorted(samples, key=lambda p: (zlib.crc32(p), p))
-    return zstandard.train_dictionary(TRAINED_BYTES * unit, ordered, k=SEGMENT * unit, d=STEP).as_bytes()
+    return zstandard.train_dictionary(TRAINED_BYTES, ordered, k=SEGMENT * unit, d=STEP).as_bytes()
 
 
 def _pair(good: list[bytes], ordinary: list[bytes], bad: list[bytes], unit: int = 1, background: bytes | None = None) -> tuple[bytes, bytes]:
-    """The ordinary and the abusive dictionary, trained on ``ordinary`` (or given) and ``bad``, then the selected passages, first ones nearest."""
+    """The ordinary and the abusive dictionary: the one trained on ``ordinary`` (or given), then for abuse the one trained on ``bad``, then the
+    selected passages, first ones nearest. The shorter is filled up behind the ordinary one, so that this is as far from the text in both.
+    """
     gap = b"\n" * unit
     background = background or _trained(ordinary, unit)
-    return background + gap + gap.join(reversed(good)), _trained(bad, unit) + background + gap + gap.join(reversed(bad))
+    ends = gap + gap.join(reversed(good)), gap + _trained(bad, unit) + gap + gap.join(reversed(bad))
+    most = max(map(len, ends))
+    return tuple(background + b"\n" * (most - len(e)) + e for e in ends)
 
 
 class Coder:
@@ -241,7 +272,7 @@ class Model:
         if len(passage) <= SHORT:
             p = stretched(passage)
             n = self.short_plain(p)
-            return (n - self.short_bad(p)) / max(1, n - FRAME) ** 0.5, passage
+            return (n - self.short_bad(p)) / max(SHORT_LEAST, n - SHORT_FRAME) ** 0.5, passage
         top = (-1e9, "")
         for w in sliding(passage):
             p = plain_bytes(w)
@@ -260,9 +291,9 @@ class Model:
         for p in passages:
             found = seen.get(p)
             if found is None:
-                found = self.best(p)
-                if len(seen) < CACHE:
-                    seen[p] = found
+                if len(seen) >= CACHE:
+                    seen.clear()
+                found = seen[p] = self.best(p)
             if found[0] > top[0]:
                 top = found
         return top
@@ -356,14 +387,17 @@ def _fit(positive: list[list[str]], negative: list[list[str]], seeds: list[str],
                 if best >= CLEAR or (best >= CONFUSED and len(w.split(" ")) >= UNUSUAL):
                     chosen.append(w)
         bad = list(dict.fromkeys(seeds + chosen))
-    few = list(dict.fromkeys(short))
     #: Names in the passages chosen would make other names look abusive: only runs that mark abuse go to the short ones.
     known_bad = dict.fromkeys(g for w in bad for g in shingles(w) if evidence.marks(g))
-    return Model(long, _pair(few, short, [stretched(w) for w in [*seeds, *known_bad]], STRETCH))
+    coded = [stretched(w) for w in [*seeds, *known_bad]]
+    background, few = _trained(short, STRETCH), [stretched(w) for w in plain]
+    usual, abusive = Coder(background), Coder(_pair(few, short, coded, STRETCH, background)[1])
+    confused = [w for w in dict.fromkeys(short) if usual(w) - abusive(w) >= CONFUSED]
+    return Model(long, _pair(few + confused, short, coded, STRETCH, background))
 
 
 def _seeds() -> tuple[list[str], list[str]]:
-    return [deepen(x.lower()) for x in ABUSIVE], [deepen(x.lower()) for x in ORDINARY]
+    return deepen([x.lower() for x in ABUSIVE]), deepen([x.lower() for x in ORDINARY])
 
 
 def train(rows: list[tuple[str | None, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Model:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockframe.llm import bpe
+from blockframe.plans.index import dense_index
 from blockframe.plans.runtime import durable
 
 CAPACITY = 4096
@@ -144,9 +145,9 @@ def pack_sizes(items: DataFrame, id_column: str, capacity: int = CAPACITY) -> Da
         loose = packed.filter(F.col("unused") > capacity // LOOSE)
         again = _pack(loose.drop("container", "relaxed", "unused"), kind, _groups(loose, capacity), groups, capacity, "again")
         packed = packed.filter(F.col("unused") <= capacity // LOOSE).unionByName(again)
-    #: Full pieces: a container each, numbered below zero, so they meet no packed container.
-    full = cut.filter(F.col("size") == capacity).withColumns({"relaxed": F.lit(0), "unused": F.lit(0)})
-    full = full.withColumn("container", -1 - F.monotonically_increasing_id())
+    #: Full pieces: a container each, numbered below zero in the order of their ids, so they meet no packed container.
+    full = dense_index(cut.filter(F.col("size") == capacity), ["__id", "piece"], "container").withColumn("container", -1 - F.col("container"))
+    full = full.withColumns({"relaxed": F.lit(0), "unused": F.lit(0)})
     none = cut.filter(F.col("size") < 1).withColumns({"container": F.lit(None).cast("bigint"), "relaxed": F.lit(0), "unused": F.lit(0)})
     return packed.unionByName(full).unionByName(none).select(F.col("__id").alias(id_column), "piece", "start", "size", "container", "relaxed", "unused")
 

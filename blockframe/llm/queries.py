@@ -40,9 +40,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every target with need, supply, rows drawn and missing, and the inclusion probability."""
+    """Every target with need, supply, rows drawn and missing, and the mean inclusion probability."""
     cells = proportions.calibrate(p3_units(spark, sf_dir), table(spark, sf_dir, "class_targets"), "block_id", "class")
-    return cells.select("block_id", "class", "need", "supply", "gap", "expected", F.round("p", 6).alias("p"))
+    return proportions.report(cells, "block_id", "class").withColumn("p", F.round("p", 6))
 
 
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proportions.draw(units, cells, "row_idx", "block_id", "class")
 
 
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sampled rows of every block and class."""
+    return p3_sample(spark, sf_dir).groupBy("block_id", "class").agg(F.countDistinct("row_idx").alias("n"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with 12 common baskets, 0.5 % of all baskets and 2.5 times as many as by chance."""
     found = pairs.co_occurrence(table(spark, sf_dir, RATINGS), "c0", "c1", min_common=12, min_share=0.005)
@@ -76,11 +81,23 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(assigned, "row_idx")
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in all clusters, their number, and whether every typical row is usable and listed once."""
+    described = p6_clusters(spark, sf_dir)
+    sizes = described.groupBy("cluster").agg(F.first("size").alias("size"), F.countDistinct("row_idx").alias("typical"))
+    return sizes.agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("clusters"), F.max("typical").alias("typical"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the ids stand for."""
+    return bpe.decode(p7_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document or piece."""
     return packing.pack_texts(table(spark, sf_dir, "documents"))
@@ -98,6 +115,17 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY), 6))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with and without space, pieces that do not follow on each other, and containers over their capacity."""
+    packed = durable(packing.pack_texts(table(spark, sf_dir, "documents")))
+    by_document = packed.groupBy("doc_id").agg(F.max("container").alias("c"), F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("end"))
+    by_container = packed.filter("container IS NOT NULL").groupBy("container").agg(F.sum("size").alias("size"))
+    names = ("placed", "empty", "broken", "overfull")
+    one = by_document.select(F.col("c").isNotNull(), F.col("c").isNull(), F.col("size") != F.col("end"), F.lit(False))
+    other = by_container.select(F.lit(False), F.lit(False), F.lit(False), F.col("size") > packing.CAPACITY)
+    return one.toDF(*names).unionByName(other.toDF(*names)).agg(*[F.count(F.when(F.col(k), 1)).alias(k) for k in names])
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, verdict and evidence of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -114,7 +142,13 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(p9_scores(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_report, p3_sample, p5_found, p5_pairs, p6_found, p6_clusters, p7_ids, p8_containers, p8_report, p9_found, p9_scores, p9_rates)}
+def p9_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every source, and whether its rate is their share."""
+    rates = abuse.rates(p9_scores(spark, sf_dir))
+    return rates.select("source", "documents", (F.abs(F.col("rate") * F.col("documents") - F.col("abusive")) < 1e-6).alias("is_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_report, p3_sample, p3_counts, p5_found, p5_pairs, p6_found, p6_clusters, p6_totals, p7_ids, p7_text, p8_containers, p8_report, p8_totals, p9_found, p9_scores, p9_rates, p9_totals)}
 
 #: Column statistics leave NaN out and isnan() is folded over them, hence the text comparison.
 _USABLE = " AND ".join(f"{m} IS NOT NULL AND {m}::VARCHAR <> 'nan' AND {m} > 0" for m in MEASURES)
@@ -157,6 +191,12 @@ ORACLES = {
     "p3_found": f"WITH {_CELLS} SELECT block_id, class FROM cells WHERE need > supply",
     "p3_report": f"""WITH {_CELLS} SELECT block_id, class, need, supply, greatest(need - supply, 0) AS gap, least(need, supply) AS expected,
         CASE WHEN supply = 0 THEN 0.0 ELSE round(least(need, supply) / supply, 6) END AS p FROM cells""",
+    "p3_counts": f"WITH {_CELLS} SELECT block_id, class, least(need, supply) AS n FROM cells WHERE least(need, supply) > 0",
+    "p6_totals": f"""SELECT count(*) AS rows, 9::BIGINT AS clusters, 5::BIGINT AS typical FROM iris_csv
+        WHERE {" AND ".join(f"{m} IS NOT NULL AND {m}::VARCHAR <> 'nan' AND {m} > 0 AND {m}::VARCHAR <> 'inf'" for m in FLOWER)}""",
+    "p7_text": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+    "p8_totals": """SELECT count(*) FILTER (text <> '') AS placed, count(*) FILTER (coalesce(text, '') = '') AS empty, 0::BIGINT AS broken, 0::BIGINT AS overfull FROM documents""",
+    "p9_totals": "SELECT source, count(*) AS documents, true AS is_share FROM documents GROUP BY source",
     "p5_found": f"""WITH {_PAIRS} SELECT item_a, item_b FROM scored
         WHERE common >= 12 AND 200 * common >= n AND 2 * common * n >= 5 * na * nb""",
     "p5_pairs": f"""WITH {_PAIRS} SELECT item_a, item_b, common, round(common * n / (na * nb), 6) AS lift,

@@ -70,9 +70,9 @@ def test_labels_are_settled(spark):
 
 
 def test_parts():
-    assert abuse.deepen("the sh1t") == "the shit"
-    assert abuse.deepen("сretin") == "cretin"  # a Cyrillic letter in a Latin word
-    assert abuse.deepen("a33b") == "aeb"
+    raws = ["the sh1t", "сretin", "a33b", "", "f u c k  you", "42", " you\u00a0too", "grööße", "a b"]  # the second begins with a Cyrillic letter
+    assert abuse.deepen(raws) == ["the shit", "cretin", "aeb", "", "fuck you", "", "you to", "größe", "a b"]
+    assert [abuse.deepen([r])[0] for r in raws] == abuse.deepen(raws)
     assert abuse.sliding("one two") == ["one two"]
     assert all(len(w.split()) == abuse.WORDS for w in abuse.sliding(" ".join(map(str, range(40)))))
     assert set(" ".join(abuse.sliding(" ".join(map(str, range(41))))).split()) == set(map(str, range(41)))

@@ -24,6 +24,25 @@ def test_newton_meets_moments():
     np.testing.assert_allclose(x.T @ (n * P.newton_dual(x, n, target, 0.2)), target, rtol=1e-6)
 
 
+def test_tilting_meets_categories_and_nears_bins():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        k, b = int(r.integers(1, 7)), int(r.integers(1, 9))
+        category, bins = np.repeat(np.arange(k), b), np.tile(np.arange(b), k)
+        n = r.integers(0, 400, k * b) * (r.random(k * b) < 0.8)
+        supply = np.bincount(category, n, k)
+        target = {c: float(min(supply[c], r.integers(0, 300))) for c in range(k)}
+        p = P.tilt(category, bins, n, target)
+        assert p.min() >= 0 and p.max() <= 1 + 1e-9
+        np.testing.assert_allclose(np.bincount(category, n * p, k), [target[c] for c in range(k)], atol=1e-6)
+    #: Two categories of opposite measures: the sample takes more of the rarer bin of each, so that its bins come nearer to the block's.
+    category, bins, n = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.array([900, 100, 10, 90])
+    p = P.tilt(category, bins, n, {0: 50.0, 1: 50.0})
+    drawn, plain = np.bincount(bins, n * p), np.bincount(bins, n * np.array([0.05, 0.05, 0.5, 0.5]))
+    want = np.bincount(bins, n) / n.sum() * 100
+    assert abs(drawn - want).max() < 0.8 * abs(plain - want).max() and p[0] > p[1] and p[2] > p[3]
+
+
 def test_pivotal():
     r = np.random.default_rng(2)
     p = np.array([0.3] * 10 + [0.8] * 5)
@@ -56,7 +75,7 @@ def test_sample(spark, monkeypatch, shard):
     units = P.distinct_units(spark.createDataFrame(rows, ROWS), "row_idx", "block_id", "class", M)
     cells = P.calibrate(units, spark.createDataFrame([(*t, "x") for t in targets], TARGETS + ", p string"), "block_id", "class")
     want = {(b, c): max(m, int(s * n + 0.5)) for b, c, n, s, m in targets}
-    report = {(x.block_id, x["class"]): x for x in cells.collect()}
+    report = {(x.block_id, x["class"]): x for x in P.report(cells, "block_id", "class").collect()}
     assert set(report) == set(want)
     for key, x in report.items():
         supply = len(usable.get(key, {}))
