@@ -38,7 +38,7 @@ class KNeighborsClassifier(Estimator):
     def votes(self, q: DsArray) -> DataFrame:
         """(q, class, weight, first): summed weight of every class among the neighbours of every query."""
         self._check("_x", "_y")
-        near = top_k(self._x.df, q.to_dense().df, self.n_neighbors, q.shape[1], q.shape[0])
+        near = top_k(self._x.df, q.to_dense().df, self.n_neighbors, q.shape[1])
         labels = self._y.df.select(F.col("row_idx").alias("idx"), F.get("features", F.lit(0)).alias("class"))
         d = F.sqrt("d2")
         if callable(self.weights):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockframe.dsarray import DsArray
@@ -12,27 +13,39 @@ from blockframe.plans.runtime import durable
 class Daura(Estimator):
     """Take the row with most others within ``cutoff`` (the first among equals) with them as a cluster, remove them, and repeat.
 
-    Singletons are not reported. Neighbour lists stay distributed; each round is one count, and the lineage is cut now and then.
+    Singletons are not reported. A row that comes before all rows within two links of it is taken whatever happens elsewhere: clusters taken
+    earlier touch neither it nor its neighbours, and counts only fall. So each round takes all such rows at once, and clusters come out in the order
+    of their sizes, which is the order in which they would be taken one by one. Neighbour lists stay distributed.
     """
 
     def __init__(self, cutoff: float):
         self.cutoff = cutoff
 
-    def neighbours(self, distances: DsArray):
+    def neighbours(self, distances: DsArray) -> DataFrame:
         """(i, j) of different rows at most ``cutoff`` apart."""
         return distances.to_dense().entries().filter((F.col("v") <= self.cutoff) & (F.col("i") != F.col("j"))).select("i", "j")
 
-    def fit_predict(self, distances: DsArray) -> list[list[int]]:
-        """Clusters, each with its centre first and then its members in order."""
-        links, clusters = durable(self.neighbours(distances)), []
-        while True:
-            top = links.groupBy("i").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "i").first()
-            if top is None:
-                return clusters
-            members = sorted(r["j"] for r in links.filter(F.col("i") == top["i"]).select("j").collect())
-            cluster = [top["i"], *members]
-            clusters.append(cluster)
-            gone = distances.df.sparkSession.createDataFrame([(c,) for c in cluster], "gone bigint")
+    def clusters(self, distances: DsArray) -> DataFrame:
+        """(centre, size, member): every cluster's centre, its number of other members, and each of these."""
+        links = durable(self.neighbours(distances))
+        taken = None
+        while not links.isEmpty():
+            #: Larger counts come first, then smaller rows.
+            rank = links.groupBy("i").agg(F.struct(F.count(F.lit(1)).alias("n"), (-F.col("i")).alias("r")).alias("key"))
+            best = rank
+            for _ in range(2):
+                seen = links.join(best.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.max("key").alias("near"))
+                best = best.join(seen, "i").select("i", F.greatest("key", "near").alias("key"))
+            first = best.join(rank.withColumnRenamed("key", "own"), "i").filter(F.col("key") == F.col("own"))
+            found = durable(links.join(first.select(F.col("i"), F.col("own.n").alias("size")), "i").select(F.col("i").alias("centre"), "size", F.col("j").alias("member")))
+            gone = found.select(F.col("member").alias("g")).unionByName(found.select(F.col("centre").alias("g"))).distinct()
             for side in "ij":
-                links = links.join(F.broadcast(gone) if len(cluster) < 100_000 else gone, F.col(side) == F.col("gone"), "left_anti")
+                links = links.join(gone, F.col(side) == F.col("g"), "left_anti")
             links = durable(links)
+            taken = found if taken is None else taken.unionByName(found)
+        return taken if taken is not None else links.select(F.col("i").alias("centre"), F.lit(0).cast("bigint").alias("size"), F.col("j").alias("member"))
+
+    def fit_predict(self, distances: DsArray) -> list[list[int]]:
+        """Clusters, each with its centre first and then its members in order."""
+        rows = self.clusters(distances).groupBy("centre", "size").agg(F.sort_array(F.collect_list("member")).alias("members"))
+        return [[r["centre"], *r["members"]] for r in rows.orderBy(F.desc("size"), "centre").collect()]

@@ -210,10 +210,18 @@ class DsArray:
             gone = sorted({_bounded(x, self.shape[1]) for x in np.atleast_1d(j)})
             out = out._cols_of([k for k in range(self.shape[1]) if k not in set(gone)])
         if i is not None:
-            gone = sorted({_bounded(x, self.shape[0]) for x in np.atleast_1d(i)})
-            kept = out.df.filter(~F.col("row_idx").isin(gone))
-            smaller = F.size(F.filter(F.lit(gone).cast("array<bigint>"), lambda x: x < F.col("row_idx"))).cast("bigint")
-            out = out._new(kept.withColumn("row_idx", F.col("row_idx") - smaller), (self.shape[0] - len(gone), out.shape[1]))
+            gone = np.unique([_bounded(x, self.shape[0]) for x in np.atleast_1d(i)])
+            shared = session().sparkContext.broadcast(gone)  # as large as the list given
+
+            def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for p in parts:
+                    rows = p["row_idx"].to_numpy("int64")
+                    at = np.searchsorted(shared.value, rows)
+                    kept = shared.value[np.minimum(at, len(shared.value) - 1)] != rows
+                    yield p[kept].assign(row_idx=(rows - at)[kept])
+
+            if len(gone):
+                out = out._new(out.df.mapInPandas(run, "row_idx bigint, features array<double>"), (self.shape[0] - len(gone), out.shape[1]))
         return out
 
     def replace_block(self, bi: int, bj: int, block) -> DsArray:
@@ -558,6 +566,8 @@ def apply_along_axis(func: Callable, axis: int, a: DsArray, *args, **kwargs) ->
     if axis not in (0, 1):
         raise ValueError("axis must be 0 or 1")
     known = {np.sum: "sum", np.mean: "mean", np.min: "min", np.max: "max", np.amin: "min", np.amax: "max", np.median: "median", np.linalg.norm: "norm"}
+    if axis == 0 and not a.sparse:
+        known |= {np.std: "std", np.var: "var"}
     if not args and not kwargs and func in known and not (a.sparse and known[func] in ("median", "norm")):
         return a._reduce(axis, known[func])
     n, m = a.shape

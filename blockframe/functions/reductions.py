@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from blockframe.dsarray import WIDE, DsArray
 
+#: Ranks of approximate quantiles are off by at most a share of one over this.
+ACCURACY = 10_000
+
 _AGGREGATES = {
     "min": F.min,
     "max": F.max,
     "sum": F.sum,
     "mean": F.avg,
-    "median": F.median,
     "norm": lambda x: F.sqrt(F.sum(x * x)),
     "var": F.var_pop,
+    "std": F.stddev_pop,
     "nonzero_mean": lambda x: F.coalesce(F.avg(F.when(x != 0, x)), F.lit(0.0)),
 }
 
@@ -41,7 +44,9 @@ def by_column(a: DsArray, name: str) -> DsArray:
     n, m = a.shape
     if a.sparse:
         cells = _sparse(a, "j", m, n, name)
-    elif m <= WIDE and name != "median":
+    elif name == "median":
+        cells = _medians(a)
+    elif m <= WIDE:
         row = a.df.agg(F.array(*[_AGGREGATES[name](F.get("features", F.lit(j))) for j in range(m)]).alias("features"))
         return DsArray(row.select(F.lit(0).cast("bigint").alias("row_idx"), "features"), (1, m))
     else:
@@ -50,6 +55,19 @@ def by_column(a: DsArray, name: str) -> DsArray:
     return DsArray(row.select(F.lit(0).cast("bigint").alias("row_idx"), "features"), (1, m))
 
 
+def _medians(a: DsArray):
+    """(j, v): exact medians of columns. Approximate quantiles bracket each; only the few distinct values between them are ranked."""
+    n, cells = a.shape[0], a.entries()
+    near = cells.groupBy("j").agg(F.percentile_approx("v", [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY], ACCURACY).alias("b"))
+    placed = cells.join(near, "j").withColumn("side", F.when(F.col("v") < F.col("b")[0], -1).when(F.col("v") > F.col("b")[1], 1).otherwise(0))
+    #: Values outside the bracket are counted only.
+    counts = placed.groupBy("j", "side", F.when(F.col("side") == 0, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("j").orderBy("side", "v"))
+    ranked = counts.withColumn("upto", upto).filter("side = 0")
+    holds = [(F.col("upto") > r) & (F.col("upto") - F.col("n") <= r) for r in ((n - 1) // 2, n // 2)]
+    return ranked.groupBy("j").agg(((F.max(F.when(holds[0], F.col("v"))) + F.max(F.when(holds[1], F.col("v")))) / 2).alias("v"))
+
+
 def _middle(x: Column) -> Column:
     s, n = F.array_sort(x), F.size(x)
     low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))

@@ -5,15 +5,18 @@ Random order is the order of a portable hash of the row number, so it is the sam
 
 from __future__ import annotations
 
+import math
 import numbers
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from blockframe.dsarray import DsArray
 from blockframe.plans.index import dense_index
 
+#: Rows of a block that one task sorts.
+WINDOW_ROWS = 1_000_000
 #: Fixed values of the multiplicative hash; products of two values below them stay within a BIGINT.
 FACTOR, FACTOR_2, SEED_FACTOR, MODULUS = 2654435761, 2246822519, 40503, 1 << 31
 
@@ -113,17 +116,22 @@ def train_test_split(x: DsArray, y: DsArray | None = None, test_size=None, train
     seed = 0 if random_state is None else int(random_state)
     dense = x.to_dense()
     rows = dense.df if y is None else dense.df.join(y.to_dense().df.select("row_idx", F.col("features").alias("__y")), "row_idx")
-    ranked = dense_index(
-        rows.withColumn("__b", F.floor(F.col("row_idx") / h)).withColumn("__h", hash_order(F.col("row_idx"), seed)).withColumnRenamed("row_idx", "__old"),
-        ["__b", "__h", "__old"],
-    )
-    place = F.col("row_idx") - F.col("__b") * h
+    rows = rows.withColumn("__b", F.floor(F.col("row_idx") / h)).withColumn("__h", hash_order(F.col("row_idx"), seed))
+    if h <= WINDOW_ROWS:  # a block is one task's work
+        place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "row_idx")) - 1
+        ranked = rows.withColumn("__place", place)
+    else:
+        ranked = dense_index(rows.withColumnRenamed("row_idx", "__old"), ["__b", "__h", "__old"], "__at").withColumn("__place", F.col("__at") - F.col("__b") * h)
     size = F.least(F.lit(h), F.lit(x.shape[0]) - F.col("__b") * h)
+    first, rest = math.floor(h * train + 1e-9), math.floor(h * test + 1e-9)  # of a whole block
     n_train, n_test = F.floor(size * F.lit(train) + F.lit(1e-9)), F.floor(size * F.lit(test) + F.lit(1e-9))
-    out = []
-    for chosen in (place < n_train, (place >= n_train) & (place < n_train + n_test)):
-        part = dense_index(ranked.filter(chosen).drop("row_idx"), ["__b", "__h", "__old"])
-        n = part.count()
+    out, last = [], x.shape[0] % h
+    for chosen, begin, each, share in (
+        (F.col("__place") < n_train, F.lit(0), first, train),
+        ((F.col("__place") >= n_train) & (F.col("__place") < n_train + n_test), n_train, rest, test),
+    ):
+        part = ranked.filter(chosen).withColumn("row_idx", (F.col("__b") * each + F.col("__place") - begin).cast("bigint"))
+        n = x.shape[0] // h * each + math.floor(last * share + 1e-9)
         out.append([DsArray(part.select("row_idx", F.col(c).alias("features")), (n, a.shape[1]), False) for c, a in (("features", x), ("__y", y)) if a is not None])
     return tuple(part[k] for k in range(1 if y is None else 2) for part in out)
 

@@ -7,13 +7,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockframe.dsarray import DsArray, session
 from blockframe.estimator import Estimator
 from blockframe.linalg import BROADCAST_VALUES
-from blockframe.plans.index import stack
+from blockframe.plans.index import dense_index, stack
 
 #: Distances that a task holds at once.
 CHUNK = 2_000_000
@@ -35,37 +35,45 @@ def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
         width = int((d <= bound).sum(axis=1).max())
         at = np.argpartition(d, min(width, d.shape[1]) - 1, axis=1)[:, :width]
-        d, ids = np.take_along_axis(d, at, 1), ids[at]
-    else:
-        ids = np.broadcast_to(ids, d.shape)
+        d, ids = np.take_along_axis(d, at, 1), np.take_along_axis(ids, at, 1)
     order = np.lexsort((ids, d), axis=1)[:, :k]
     return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def top_k(fit: DataFrame, queries: DataFrame, k: int, m: int, n_queries: int) -> DataFrame:
-    """(q, idx, d2): the k nearest rows of ``fit`` (row_idx, features) of each of ``queries``, equal distances by smaller row.
+def top_k(fit: DataFrame, queries: DataFrame, k: int, m: int) -> DataFrame:
+    """(q, idx, d2, rank): the k nearest rows of ``fit`` (row_idx, features) of each of ``queries``, equal distances by smaller row.
 
-    Blocks of queries, each small enough to broadcast, meet every partition of ``fit`` once; a partition sends k rows for each query.
+    Queries go in blocks small enough to broadcast, whatever their row numbers; each block meets every partition of ``fit`` once, and a partition
+    sends k rows for each query, since it keeps the best so far over its batches.
     """
-    block = max(1, BROADCAST_VALUES // max(m, 1))
+    block, spark = max(1, BROADCAST_VALUES // max(m, 4 * k)), session()
+    total = queries.count()
+    if total > block:
+        numbered = dense_index(queries.select("row_idx", "features"), ["row_idx"], "place")
+        pages = [numbered.filter((F.col("place") >= begin) & (F.col("place") < begin + block)) for begin in range(0, total, block)]
+    else:
+        pages = [queries]
     found = None
-    for begin in range(0, max(n_queries, 1), block):
-        rows = queries.filter((F.col("row_idx") >= begin) & (F.col("row_idx") < begin + block)).select("row_idx", "features").toPandas()
-        shared = session().sparkContext.broadcast((rows["row_idx"].to_numpy("int64"), stack(rows["features"], m)))
+    for page in pages:
+        rows = page.select("row_idx", "features").toPandas()
+        shared = spark.sparkContext.broadcast((rows["row_idx"].to_numpy("int64"), stack(rows["features"], m)))
 
         def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
+            best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
             for p in parts:
                 x, own = stack(p["features"], m), p["row_idx"].to_numpy("int64")
                 step = max(1, CHUNK // max(1, len(x)))
                 for at in range(0, len(q) if len(x) else 0, step):
-                    d, i = _smallest(squared(q[at : at + step], x), own, k)
-                    yield pd.DataFrame({"q": np.repeat(ids[at : at + step], d.shape[1]), "idx": i.ravel(), "d2": d.ravel()})
+                    here = slice(at, at + step)
+                    d = np.hstack([best_d[here], squared(q[here], x)])
+                    i = np.hstack([best_i[here], np.broadcast_to(own, (len(d), len(own)))])
+                    best_d[here], best_i[here] = _smallest(d, i, k)
+            some = np.isfinite(best_d.ravel())
+            yield pd.DataFrame({"q": np.repeat(ids, k)[some], "idx": best_i.ravel()[some], "d2": best_d.ravel()[some]})
 
         part = fit.select("row_idx", "features").mapInPandas(run, "q bigint, idx bigint, d2 double")
         found = part if found is None else found.unionByName(part)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "idx"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -86,7 +94,7 @@ class NearestNeighbors(Estimator):
     def pairs(self, q: DsArray, n_neighbors: int | None = None) -> DataFrame:
         """(q, idx, d2, rank)."""
         self._check("_fit")
-        return top_k(self._fit.df, q.to_dense().df, n_neighbors or self.n_neighbors, q.shape[1], q.shape[0])
+        return top_k(self._fit.df, q.to_dense().df, n_neighbors or self.n_neighbors, q.shape[1])
 
     def kneighbors(self, q: DsArray, n_neighbors: int | None = None, return_distance: bool = True):
         """(distances, indices) arrays of n_queries x k, or the indices alone."""

@@ -49,34 +49,33 @@ class ADMM(Estimator):
         schema = "b bigint, a array<double>, c array<double>, w array<double>, u array<double>"
         state = durable(blocks.groupBy("b").applyInPandas(prepare, schema))
         parts = state.count()
-        z = np.zeros(d)
+        z, u2 = np.zeros(d), 0.0
         for self.n_iter_ in range(1, self.max_iter + 1):
 
-            def update(part: pd.DataFrame, z=z) -> pd.DataFrame:
-                w = []
-                for a, c, u in zip(part["a"], part["c"], part["u"], strict=True):
-                    v = z - np.asarray(u)
+            def update(part: pd.DataFrame, z=z, first=self.n_iter_ == 1) -> pd.DataFrame:
+                """The dual step of the pass before and the primal step of this one, in one go."""
+                ws, us = [], []
+                for a, c, w, u in zip(part["a"], part["c"], part["w"], part["u"], strict=True):
+                    u = np.asarray(u) if first else np.asarray(u) + np.asarray(w) - z
+                    v = z - u
                     if loss is None:
-                        w.append(np.asarray(a).reshape(d, d) @ (np.asarray(c) + rho * v))
+                        ws.append(np.asarray(a).reshape(d, d) @ (np.asarray(c) + rho * v))
                     else:
-                        w.append(np.asarray(loss(np.asarray(a).reshape(-1, d), np.asarray(c), v, rho), float))
-                return part.assign(w=w)
+                        ws.append(np.asarray(loss(np.asarray(a).reshape(-1, d), np.asarray(c), v, rho), float))
+                    us.append(u)
+                return part.assign(w=ws, u=us)
 
             state = durable(state.mapInPandas(lambda it, f=update: (f(p) for p in it if len(p)), schema))
             mean_w, mean_u = self._means(state, parts)
             old, z = z, soft_threshold(mean_w + mean_u, self.k)
-
-            def dual(part: pd.DataFrame, z=z) -> pd.DataFrame:
-                return part.assign(u=[np.asarray(u) + np.asarray(w) - z for w, u in zip(part["w"], part["u"], strict=True)])
-
-            state = durable(state.mapInPandas(lambda it, f=dual: (f(p) for p in it if len(p)), schema))
-            shift = F.zip_with("w", F.lit(old.tolist()), lambda v, o: v - o)
+            less = lambda c, v: F.zip_with(c, F.lit(v.tolist()), lambda x, y: x - y)
             square = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
-            r2, w2, u2 = state.agg(square(shift), square(F.col("w")), square(F.col("u"))).first()
+            dual = less(F.zip_with("u", "w", lambda x, y: x + y), z)
+            r2, w2, u2 = state.agg(square(less("w", z)), square(F.col("w")), square(dual)).first()
             s = np.sqrt(parts) * rho * np.linalg.norm(z - old)
             eps = np.sqrt(parts * d) * self.atol
             primal = eps + self.rtol * max(np.sqrt(w2), np.sqrt(parts) * np.linalg.norm(z))
-            self.converged_ = bool(np.sqrt(r2) <= primal and s <= eps + self.rtol * np.sqrt(u2))
+            self.converged_ = bool(np.sqrt(r2) <= primal and s <= eps + self.rtol * rho * np.sqrt(u2))
             if self.converged_:
                 break
         self.z_ = z

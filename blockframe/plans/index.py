@@ -20,16 +20,16 @@ def dense_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFrame:
     A range-partitioned sort is cut off, rows are numbered within partitions, and one offset per partition is added; no
     window over all rows and nothing but partition sizes on the driver.
     """
-    ordered = durable(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
-    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    ordered = durable(df.orderBy(*order)).withColumn("__dense_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("__dense_id", 33), F.col("__dense_id").bitwiseAND((1 << 33) - 1)
     sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
     offsets, total = {}, 0
     for r in sorted(sizes, key=lambda r: r["part"]):
         offsets[r["part"]], total = total, total + r["n"]
     if not offsets:
-        return ordered.withColumn(name, F.col("__id")).drop("__id")
-    starts = df.sparkSession.createDataFrame(list(offsets.items()), "__part bigint, __start bigint")  # a row per partition
-    return ordered.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + place).drop("__id", "__part", "__start")
+        return ordered.withColumn(name, F.col("__dense_id")).drop("__dense_id")
+    starts = df.sparkSession.createDataFrame(list(offsets.items()), "__dense_part bigint, __dense_start bigint")  # a row per partition
+    return ordered.withColumn("__dense_part", part).join(F.broadcast(starts), "__dense_part").withColumn(name, F.col("__dense_start") + place).drop("__dense_id", "__dense_part", "__dense_start")
 
 
 def cumulate(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, dict]:

@@ -30,8 +30,11 @@ K = 4
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> A.DsArray:
-    """Numbers of lineitem. Its keys repeat, so the row number only labels rows; nothing here joins on it."""
-    return A.from_rows(table(spark, sf_dir, "lineitem"), "l_orderkey", D4)
+    """Numbers of lineitem, its rows numbered from 0 in the order of their keys and values."""
+    from blockframe.plans.index import dense_index
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *D4)
+    return A.from_rows(dense_index(rows, ["l_orderkey", "l_linenumber", *D4]), "row_idx", D4)
 
 
 def wide(a: A.DsArray, places: int = 6) -> DataFrame:
@@ -67,7 +70,7 @@ def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     from blockframe.operators.proximity import top_k
 
     x = embeddings(spark, sf_dir)
-    return top_k(x.df, fiftieth(spark, sf_dir), k, x.shape[1], x.shape[0])
+    return top_k(x.df, fiftieth(spark, sf_dir), k, x.shape[1])
 
 
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +117,9 @@ def _supplier_distances(spark: SparkSession, sf_dir: str) -> A.DsArray:
 
 
 def _daura(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Daura(1.0).fit_predict(_supplier_distances(spark, sf_dir))
-    rows = [(k, c[0], m) for k, c in enumerate(found) for m in c]
-    return spark.createDataFrame(rows, "cluster int, centre bigint, member bigint")
+    """Every cluster's centre, and its members with the centre among them."""
+    found = Daura(1.0).clusters(_supplier_distances(spark, sf_dir))
+    return found.select("centre", "member").unionByName(found.select("centre", F.col("centre").alias("member")).distinct())
 
 
 def _kmeans(passes: int) -> Callable[[SparkSession, str], KMeans]:
@@ -178,12 +181,94 @@ def _split(classes: bool) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def zero(x: np.ndarray, scale: float = 1.0, places: int = 6) -> float:
+    """The largest size of values that should vanish against ``scale``, rounded."""
+    return float(round(float(np.max(np.abs(x), initial=0.0)) / max(scale, 1e-300), places)) + 0.0
+
+
 def _pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(PCA(8).fit(embeddings(spark, sf_dir)).components_)
+    """The covariance matrix that all components and their variances make."""
+    model = PCA().fit(embeddings(spark, sf_dir))
+    components, values = (np.asarray(a.collect(squeeze=False)) for a in (model.components_, model.explained_variance_))
+    return long(A.array(components.T * values[0] @ components))
 
 
 def _pca_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(PCA(8).fit_transform(embeddings(spark, sf_dir)))
+    """Centred rows: the transformed rows, turned back."""
+    x = embeddings(spark, sf_dir)
+    model = PCA().fit(x)
+    return long(linalg.times(model.transform(x), np.asarray(model.components_.collect(squeeze=False))))
+
+
+def _svd_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U S V', which is the matrix."""
+    u, s, v = linalg.svd(embeddings(spark, sf_dir))
+    return long(linalg.times(u * s, np.asarray(v.collect(squeeze=False)).T))
+
+
+def _gram_rows(spark: SparkSession, gram: np.ndarray) -> DataFrame:
+    """(i, j, v) of a small Gram matrix."""
+    return long(A.array(gram))
+
+
+def _svd_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U' U, which is the identity."""
+    return _gram_rows(spark, linalg.cross(linalg.svd(embeddings(spark, sf_dir))[0]))
+
+
+def _svd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power sums of the squared singular values a row: the traces of the powers of A'A / n."""
+    x = embeddings(spark, sf_dir)
+    s2 = np.asarray(linalg.svd(x, compute_uv=False).collect(squeeze=False))[0] ** 2 / max(1, x.shape[0])
+    return spark.createDataFrame([(k, round(float((s2**k).sum()), 8)) for k in (1, 2, 3)], "power int, trace double")
+
+
+def _tsqr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R' R, and the largest value below the diagonal of R."""
+    r = np.asarray(linalg.tsqr(embeddings(spark, sf_dir), "r_reduced").collect(squeeze=False))
+    return long(A.array(r.T @ r)).withColumn("below", F.lit(zero(np.tril(r, -1)))).withColumn("negative", F.lit(int((np.diag(r) < 0).sum())))
+
+
+def _qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q R, which is the matrix."""
+    q, r = linalg.qr(embeddings(spark, sf_dir), "economic")
+    return long(linalg.times(q, np.asarray(r.collect(squeeze=False))))
+
+
+def _qr_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q' Q, which is the identity."""
+    return _gram_rows(spark, linalg.cross(linalg.qr(embeddings(spark, sf_dir), "economic")[0]))
+
+
+def _truncated(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """(k, residual, off): how far each triple is from A v = s u, and each left vector from being of length 1 and orthogonal to the others."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = embeddings(spark, sf_dir)
+        u, s, v = f(x)
+        values, right = np.asarray(s.collect(squeeze=False))[0], np.asarray(v.collect(squeeze=False))
+        gap = linalg.cross(A.matsubtract(linalg.times(x, right), u * s))
+        gram = linalg.cross(u)
+        rows = [(k, zero(float(gap[k, k]) ** 0.5, float(values[0]), 3), zero(gram[k] - np.eye(len(values))[k], 1, 3)) for k in range(len(values))]
+        return spark.createDataFrame(rows[:8], "k int, residual double, off double")
+
+    return run
+
+
+def _mixture(passes: int | None) -> Callable[[SparkSession, str], DataFrame]:
+    """Means of three components over the suppliers, from a fixed start; ``passes`` None is to convergence."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        start = {"weights_init": [0.3, 0.3, 0.4], "means_init": START, "precisions_init": [np.eye(2) / 9] * 3}
+        limit = {"check_convergence": False, "max_iter": passes} if passes else {}
+        model = GaussianMixture(3, random_state=1, init_params="random", reg_covar=1e-6, **start, **limit).fit(suppliers(spark, sf_dir))
+        rows = [(k, round(float(w), 6) + 0.0, *(round(float(v), 6) + 0.0 for v in mu)) for k, (w, mu) in enumerate(zip(model.weights_, model.means_, strict=True))]
+        return spark.createDataFrame(rows, "k int, weight double, x double, y double")
+
+    return run
+
+
+START = [[0.0, 5.0], [5.0, 12.0], [8.0, 20.0]]
 
 
 def _labelled(spark: SparkSession, sf_dir: str, model) -> DataFrame:
@@ -192,18 +277,34 @@ def _labelled(spark: SparkSession, sf_dir: str, model) -> DataFrame:
     return found.df.select("row_idx", F.get("features", F.lit(0)).alias("label"))
 
 
-def _als(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _als(spark: SparkSession, sf_dir: str) -> tuple[ALS, DataFrame]:
     rows = table(spark, sf_dir, "sample_movielens_ratings").filter("c0 IS NOT NULL AND c1 IS NOT NULL AND c2 > 0")
     rated = rows.groupBy(F.col("c0").cast("bigint").alias("i"), F.col("c1").cast("bigint").alias("j")).agg(F.avg("c2").alias("v"))
     n, m = rated.agg(F.max("i"), F.max("j")).first()
-    model = ALS(random_state=1, n_f=8, max_iter=3, check_convergence=False).fit(A.DsArray(rated, ((n or 0) + 1, (m or 0) + 1), True))
-    return model._items.select(F.col("id").alias("item"), F.round(F.sqrt(F.aggregate("f", F.lit(0.0), lambda s, v: s + v * v)), 6).alias("norm"))
+    model = ALS(random_state=1, n_f=8, max_iter=20).fit(A.DsArray(rated, ((n or 0) + 1, (m or 0) + 1), True))
+    return model, rated
+
+
+def _als_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, ratings, residual): how far the factors of every item are from its normal equations, given those of the users."""
+    model, rated = _als(spark, sf_dir)
+    users, items = (f.select(F.col("id").alias(k), F.col("f").alias(n)) for f, k, n in ((model._users, "i", "u"), (model._items, "j", "f")))
+    dot = F.aggregate(F.zip_with("u", "f", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    parts = rated.join(users, "i").join(items, "j").select("j", F.posexplode(F.transform("u", lambda a: a * (F.col("v") - dot))).alias("k", "g"), "f")
+    left = parts.groupBy("j", "k").agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("n"), F.first(F.get("f", F.col("k"))).alias("x"))
+    gap = F.abs(F.col("g") - model.lambda_ * F.col("n") * F.col("x")) / F.col("n")
+    return left.groupBy(F.col("j").alias("item")).agg(F.max("n").alias("ratings"), (F.round(F.max(gap), 6) + F.lit(0.0)).alias("residual"))
 
 
 def _lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = embeddings(spark, sf_dir)
-    model = Lasso(lmbd=0.5, max_iter=10, block_rows=max(1, x.shape[0] // 4)).fit(x, labels(spark, sf_dir))
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(model.coef_)], "k int, coefficient double")
+    """(k, gap): how far every coefficient is from the conditions of the optimum, against the largest gradient at zero."""
+    x, y = embeddings(spark, sf_dir), labels(spark, sf_dir)
+    blocks, penalty = 4, 5.0
+    model = Lasso(lmbd=penalty, max_iter=500, atol=1e-5, rtol=1e-4, rho=max(1.0, x.shape[0] / (64 * blocks)), block_rows=max(1, -(-x.shape[0] // blocks))).fit(x, y)
+    w, gram, xy = np.asarray(model.coef_), linalg.cross(x), linalg.cross(x, y)[:, 0]
+    slope, bound = xy - gram @ w, blocks * penalty
+    gap = np.where(w == 0, np.maximum(0, np.abs(slope) - bound), np.abs(slope - bound * np.sign(w))) / np.abs(xy).max()
+    return spark.createDataFrame([(k, round(float(g), 3) + 0.0) for k, g in enumerate(gap)], "k int, gap double")
 
 
 def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +319,7 @@ def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = embeddings(spark, sf_dir), labels(spark, sf_dir)
     found = GridSearchCV(KNeighborsClassifier(), {"n_neighbors": [1, 5]}, cv=2, refit=False).fit(x, y).cv_results_
-    rows = [(int(p["n_neighbors"]), float(m), int(r)) for p, m, r in zip(found["params"], found["mean_test_score"], found["rank_test_score"], strict=True)]
+    rows = [(int(p["n_neighbors"]), round(float(m), 6), int(r)) for p, m, r in zip(found["params"], found["mean_test_score"], found["rank_test_score"], strict=True)]
     return spark.createDataFrame(rows, "n_neighbors int, mean_score double, rank int")
 
 
@@ -249,18 +350,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_best_split_mse": _split(False),
     "pca_components": _pca,
     "pca_transform": _pca_transform,
-    "svd_values": _values("s", lambda spark, sf_dir: linalg.svd(embeddings(spark, sf_dir), compute_uv=False).collect()),
-    "tsqr_r": lambda spark, sf_dir: long(linalg.tsqr(embeddings(spark, sf_dir), "r_reduced")),
-    "qr_economic_q": lambda spark, sf_dir: long(linalg.qr(embeddings(spark, sf_dir), "economic")[0]),
-    "random_svd": _values("s", lambda spark, sf_dir: linalg.random_svd(embeddings(spark, sf_dir), nsv=8, k=16, epsilon=1.0)[1].collect()),
-    "lanczos_svd": _values("s", lambda spark, sf_dir: linalg.lanczos_svd(embeddings(spark, sf_dir), 32, 8, 8, 8, epsilon=1.0, max_num_iterations=5)[1].collect()),
-    "gmm_full": lambda spark, sf_dir: long(A.array(GaussianMixture(3, check_convergence=False, max_iter=3, random_state=1, reg_covar=1e-3).fit(embeddings(spark, sf_dir)).means_)),
-    "als_item_norms": _als,
+    "svd_values": _svd_values,
+    "svd_product": _svd_product,
+    "svd_u_gram": _svd_gram,
+    "tsqr_r": _tsqr,
+    "qr_economic_q": _qr,
+    "qr_q_gram": _qr_gram,
+    "random_svd": _truncated(lambda x: linalg.random_svd(x, iters=12, epsilon=0.99, tol=1e-6, nsv=8, k=48)),
+    "lanczos_svd": _truncated(lambda x: linalg.lanczos_svd(x, 32, 8, 16, 8, epsilon=0.99)),
+    "gmm_full": _mixture(None),
+    "gmm_3iter": _mixture(3),
+    "als_item_norms": _als_items,
     "lasso_coefficients": _lasso,
     "rf_classifier": lambda spark, sf_dir: _labelled(spark, sf_dir, RandomForestClassifier(5, max_depth=5, random_state=1)),
     "rf_regressor": lambda spark, sf_dir: _labelled(spark, sf_dir, RandomForestRegressor(5, try_features="third", max_depth=5, random_state=1)),
     "dt_classifier": lambda spark, sf_dir: _labelled(spark, sf_dir, DecisionTreeClassifier(max_depth=5, random_state=1)),
-    "csvm_labels": lambda spark, sf_dir: _labelled(spark, sf_dir, CascadeSVM(max_iter=1, block_rows=500)),
+    "csvm_labels": lambda spark, sf_dir: _labelled(spark, sf_dir, CascadeSVM(block_rows=500)),
     "nn_labels": _network,
     "grid_search_knn": _grid,
     "nearest_neighbors": lambda spark, sf_dir: long(NearestNeighbors(3).fit(embeddings(spark, sf_dir)).kneighbors(embeddings(spark, sf_dir))[0]),
@@ -272,7 +377,7 @@ _E = "e AS (SELECT vec_id AS i, list_transform(embedding, lambda x: x::DOUBLE) A
 
 def _scale(cell: str) -> str:
     cells = [f"round({cell.format(c=c)}, 6) + 0.0 AS x{k}" for k, c in enumerate(D4)]
-    return f"SELECT l_orderkey AS row_idx, {', '.join(cells)} FROM lineitem"
+    return f"SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, {', '.join(D4)}) - 1 AS row_idx, {', '.join(cells)} FROM lineitem"
 
 
 _D2 = "list_sum(list_transform(range(1, 65), lambda k: (q.x[k] - f.x[k]) * (q.x[k] - f.x[k])))"
@@ -300,6 +405,26 @@ def _lloyd(passes: int) -> str:
     return "WITH " + ", ".join(parts)
 
 
+_IDENTITY = "SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(64) a(i), range(64) b(j)"
+_VANISHED = "SELECT k::INT AS k, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS off FROM range(8) t(k)"
+
+
+def _em(passes: int) -> str:
+    """Expectation maximisation of three components in two dimensions, with closed inverses and determinants."""
+    start = ", ".join(f"({k}, {w}::DOUBLE, {x}::DOUBLE, {y}::DOUBLE, 9.0::DOUBLE, 0.0::DOUBLE, 9.0::DOUBLE)" for k, (w, (x, y)) in enumerate(zip((0.3, 0.3, 0.4), START, strict=True)))
+    parts = [_POINTS, f"g0 AS (SELECT * FROM (VALUES {start}) t(k, w, mx, my, a, b, c))"]
+    for t in range(passes):
+        parts += [
+            f"""f{t} AS (SELECT p.i, p.x, p.y, k, ln(w) - 0.5 * ln(a * c - b * b) - 0.5 * (c * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * c - b * b) AS l FROM p, g{t})""",
+            f"r{t} AS (SELECT i, x, y, k, exp(l - max(l) OVER (PARTITION BY i)) AS e FROM f{t})",
+            f"s{t} AS (SELECT x, y, k, e / sum(e) OVER (PARTITION BY i) AS r FROM r{t})",
+            f"n{t} AS (SELECT k, sum(r) AS n, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my FROM s{t} GROUP BY k)",
+            f"""g{t + 1} AS (SELECT s.k, any_value(n.n) / (SELECT count(*) FROM p) AS w, any_value(n.mx) AS mx, any_value(n.my) AS my, sum(r * (x - n.mx) * (x - n.mx)) / any_value(n.n) + 1e-6 AS a,
+                sum(r * (x - n.mx) * (y - n.my)) / any_value(n.n) AS b, sum(r * (y - n.my) * (y - n.my)) / any_value(n.n) + 1e-6 AS c FROM s{t} s JOIN n{t} n ON s.k = n.k GROUP BY s.k)""",
+        ]
+    return f"WITH {', '.join(parts)} SELECT k::INT AS k, round(w, 6) + 0.0 AS weight, round(mx, 6) + 0.0 AS x, round(my, 6) + 0.0 AS y FROM g{passes}"
+
+
 _SUMS = "SELECT avg(l_quantity) AS ax, avg(l_discount) AS az, avg(l_extendedprice) AS ay, var_pop(l_quantity) AS xx, var_pop(l_discount) AS zz, covar_pop(l_quantity, l_discount) AS xz, covar_pop(l_quantity, l_extendedprice) AS xy, covar_pop(l_discount, l_extendedprice) AS zy FROM lineitem"
 ORACLES = {
     "scaler_standard": _scale("({c} - avg({c}) OVER ()) / sqrt(var_pop({c}) OVER ())"),
@@ -342,4 +467,41 @@ ORACLES = {
         l AS (SELECT x, sum(k) OVER (ORDER BY x) AS nl, sum(s) OVER (ORDER BY x) AS l, sum(k) OVER () AS n, sum(s) OVER () AS t, lead(x) OVER (ORDER BY x) AS y FROM c),
         r AS (SELECT (x + y) / 2 AS threshold, -(l * l / nl + (t - l) * (t - l) / (n - nl)) AS score FROM l WHERE n > nl)
         SELECT threshold, round(score, 0) AS score FROM r ORDER BY r.score, threshold DESC LIMIT 1""",
+    "pca_components": f"WITH {_M} SELECT a.j AS i, b.j AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j",
+    "pca_transform": f"WITH {_M} SELECT i, j, round(v - avg(v) OVER (PARTITION BY j), 6) + 0.0 AS v FROM m",
+    "svd_product": f"WITH {_M} SELECT i, j, round(v, 6) + 0.0 AS v FROM m",
+    "svd_u_gram": _IDENTITY,
+    "qr_economic_q": f"WITH {_M} SELECT i, j, round(v, 6) + 0.0 AS v FROM m",
+    "qr_q_gram": _IDENTITY,
+    "tsqr_r": f"WITH {_M} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v, 0.0::DOUBLE AS below, 0::INT AS negative FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j",
+    "svd_values": f"""WITH {_M}, g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) / (SELECT count(*) FROM embeddings) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j),
+        gg AS (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY a.i, b.j)
+        SELECT 1::INT AS power, round(sum(v), 8) AS trace FROM g WHERE i = j
+        UNION ALL SELECT 2::INT, round(sum(v), 8) FROM gg WHERE i = j
+        UNION ALL SELECT 3::INT, round(sum(a.v * b.v), 8) FROM gg a JOIN g b ON a.i = b.j AND a.j = b.i""",
+    "random_svd": _VANISHED,
+    "lanczos_svd": _VANISHED,
+    "gmm_3iter": _em(3),
+    "als_item_norms": """WITH r AS (SELECT DISTINCT c0, c1 FROM sample_movielens_ratings WHERE c0 IS NOT NULL AND c1 IS NOT NULL AND c2 > 0)
+        SELECT c1::BIGINT AS item, count(*) AS ratings, 0.0::DOUBLE AS residual FROM r GROUP BY c1""",
+    "lasso_coefficients": "SELECT k::INT AS k, 0.0::DOUBLE AS gap FROM range(64) t(k)",
+    "daura_clusters": f"""WITH RECURSIVE {_POINTS}, {_LINKS.format(r='1')}, l AS (SELECT u, v FROM links WHERE u <> v),
+        steps AS (
+          SELECT -1 AS cluster, NULL::BIGINT AS centre, []::BIGINT[] AS gone, []::BIGINT[] AS members
+          UNION ALL
+          SELECT s.cluster + 1, n.u, list_concat(s.gone, n.members), n.members
+          FROM steps s, LATERAL (SELECT u, list_append(list(v ORDER BY v), u) AS members FROM l WHERE NOT list_contains(s.gone, u) AND NOT list_contains(s.gone, v)
+                                 GROUP BY u ORDER BY count(*) DESC, u LIMIT 1) n)
+        SELECT centre, unnest(members) AS member FROM steps WHERE centre IS NOT NULL""",
+    "nearest_neighbors": f"""WITH {_E}, pairs AS (SELECT q.i AS q, f.i AS idx, {_D2} AS d2 FROM e q, e f),
+        near AS (SELECT q, d2, row_number() OVER (PARTITION BY q ORDER BY round(d2, 12), idx) AS rank FROM pairs QUALIFY rank <= 3)
+        SELECT q AS i, rank - 1 AS j, round(sqrt(d2), 6) + 0.0 AS v FROM near""",
+    "grid_search_knn": f"""WITH {_E}, size AS (SELECT count(*) AS n FROM embeddings), half AS (SELECT (n + 1) // 2 AS h FROM size),
+        pairs AS (SELECT q.i AS q, q.label AS truth, f.i AS idx, f.label, {_D2} AS d2, q.i >= h AS fold FROM e q, e f, half WHERE (q.i < h) <> (f.i < h)),
+        near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d2, 12), idx) AS rank FROM pairs QUALIFY rank <= 5),
+        votes AS (SELECT k, q, truth, fold, label, count(*) AS w, min(rank) AS first FROM near, (VALUES (1), (5)) t(k) WHERE rank <= k GROUP BY ALL),
+        won AS (SELECT k, q, fold, label = truth AS hit FROM votes QUALIFY row_number() OVER (PARTITION BY k, q ORDER BY w DESC, first) = 1),
+        folds AS (SELECT k, fold, avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0 END) AS score FROM won GROUP BY k, fold),
+        means AS (SELECT k, avg(score) AS score FROM folds GROUP BY k)
+        SELECT k::INT AS n_neighbors, round(score, 6) AS mean_score, rank() OVER (ORDER BY score DESC)::INT AS rank FROM means""",
 }

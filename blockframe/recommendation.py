@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from blockframe.functions.reductions import by_column
 from blockframe.linalg import BROADCAST_VALUES
 from blockframe.operators.skew import fragment_replicate_join
 from blockframe.plans.balance import Plan, make_plan, route
-from blockframe.plans.index import stack
+from blockframe.plans.index import DRIVER_VALUES, stack
 from blockframe.plans.runtime import durable
 
 STATE = "id bigint, f array<double>, n bigint, s array<double>"
@@ -64,8 +65,11 @@ class ALS(Estimator):
         self.users = self.items = self.rmse_ = self.n_iter_ = self.converged = None
         self._users = self._items = None
 
-    def _solve(self, layout: _Layout, factors: DataFrame, values: int) -> DataFrame:
-        """Factors (id, f) of the layout's side given those of the other, which have ``values`` values."""
+    def _solve(self, layout: _Layout, factors: DataFrame, values: int, size: int) -> DataFrame:
+        """Factors (id, f) of the layout's side, of ``size`` values, given those of the other, which have ``values`` values.
+
+        What is small enough for the driver goes by way of it; the rest stays distributed.
+        """
         d, lam, split = self.n_f, float(self.lambda_), layout.split
         rows, shared = layout.with_factors(factors, values)
 
@@ -124,7 +128,15 @@ class ALS(Estimator):
             if now is not None:
                 yield _solve_all([now], [total[:-d].reshape(d, d)], [total[-d:]], [n], lam)
 
-        out = durable(rows.mapInPandas(run, STATE))
+        out = rows.mapInPandas(run, STATE)
+        states = sum(map(len, layout.plan.heavy.values()))
+        if size + states * (d * d + d) <= DRIVER_VALUES:
+            found = out.toPandas()
+            summed = list(add([found[found["f"].isna()].sort_values("id")]))
+            found = pd.concat([found[found["f"].notna()], *summed]).sort_values("id")
+            f = pa.array(found["f"].tolist(), pa.list_(pa.float64()))
+            return session().createDataFrame(pa.table({"id": pa.array(found["id"].to_numpy("int64")), "f": f}))
+        out = durable(out)
         whole = out.filter("f IS NOT NULL").select("id", "f")
         if not split:
             return whole
@@ -152,8 +164,8 @@ class ALS(Estimator):
         items = durable(means.mapInPandas(start, "id bigint, f array<double>"))
         self.converged = False
         for self.n_iter_ in range(1, self.max_iter + 1):
-            users = self._solve(by_user, items, n_items * d)
-            items = self._solve(by_item, users, n_users * d)
+            users = self._solve(by_user, items, n_items * d, n_users * d)
+            items = self._solve(by_item, users, n_users * d, n_items * d)
             if self.check_convergence or self.n_iter_ == self.max_iter:
                 self.rmse_ = self._rmse(check, users, items, n_users * d, n_items * d)
                 if self.check_convergence and last is not None and abs(last - self.rmse_) < self.tol:

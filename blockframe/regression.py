@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from blockframe.dsarray import DsArray, array, concat_columns, full
+from blockframe.dsarray import DsArray, array
 from blockframe.estimator import Estimator
 from blockframe.linalg import cross, times
 from blockframe.optimization import ADMM
@@ -12,8 +13,6 @@ from blockframe.optimization import ADMM
 
 def r2_score(predicted: DsArray, y: DsArray) -> float:
     """1 - residual / total sum of squares over all values."""
-    from pyspark.sql import functions as F
-
     a, b = predicted.to_dense().df, y.to_dense().df.select("row_idx", F.col("features").alias("__y"))
     v = a.join(b, "row_idx").select(F.explode(F.arrays_zip("features", "__y")).alias("e")).select(F.col("e.features").alias("p"), F.col("e.__y").alias("y"))
     row = v.agg(F.sum((F.col("y") - F.col("p")) ** 2), F.var_pop("y") * F.count("y")).first()
@@ -31,8 +30,9 @@ class LinearRegression(Estimator):
         if x.sparse or y.sparse:
             raise NotImplementedError("sparse arrays")
         m, t = x.shape[1], y.shape[1]
-        z = concat_columns(concat_columns(full((x.shape[0], 1), 1.0), x), y) if self.fit_intercept else concat_columns(x, y)
-        g, k = cross(z), m + bool(self.fit_intercept)
+        one, k = [F.array(F.lit(1.0))] * bool(self.fit_intercept), m + bool(self.fit_intercept)
+        both = x.df.join(y.df.select("row_idx", F.col("features").alias("y")), "row_idx").select("row_idx", F.concat(*one, "features", "y").alias("features"))
+        g = cross(DsArray(both, (x.shape[0], k + t)))
         beta = np.linalg.solve(g[:k, :k], g[:k, k:])
         self._intercept = beta[:1] if self.fit_intercept else np.zeros((1, t))
         self._coef = beta[1:] if self.fit_intercept else beta

@@ -5,9 +5,7 @@ Text is read by splits; its row numbers come from the order of the input (file n
 
 from __future__ import annotations
 
-import glob
 import io
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.dsarray import DsArray, _check_blocks, concat_columns, session
-from blockframe.plans.index import dense_index
+from blockframe.dsarray import DsArray, _check_blocks, session
 
 #: Values of each line, values of each field and their width in the trajectory format (fixed values).
 MDCRD_PER_LINE, MDCRD_WIDTH = 10, 8
@@ -25,10 +22,19 @@ NPY_ROWS = 65_536
 
 
 def numbered_lines(path: str) -> DataFrame:
-    """(row_idx, value): lines of text files, blank ones left out, numbered in input order."""
+    """(row_idx, value): lines of text files, blank ones left out, numbered in input order.
+
+    Lines of a split come in order, so a split needs only the number of lines before it: one count of each split, no sort.
+    """
     lines = session().read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = lines.withColumn("place", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    return dense_index(lines, ["file", "block", "place"]).select("row_idx", "value")
+    lines = lines.filter(F.trim("value") != "").withColumn("id", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    starts, total = [], 0
+    for r in sorted(splits, key=lambda r: (r["file"], r["block"])):
+        starts.append((r["file"], r["block"], total - r["first"]))
+        total += r["n"]
+    shift = session().createDataFrame(starts, "file string, block bigint, shift bigint")  # a row per split
+    return lines.join(F.broadcast(shift), ["file", "block"]).select((F.col("id") + F.col("shift")).alias("row_idx"), "value")
 
 
 def load_txt_file(path: str, block_size: tuple[int, int] | None = None, discard_first_row: bool = False, col_of_index: bool = False, delimiter: str = ",") -> DsArray:
@@ -93,38 +99,74 @@ def load_npy_file(path: str, block_size: tuple[int, int] | None = None) -> DsArr
     return DsArray(starts.mapInPandas(run, "row_idx bigint, features array<double>"), (n, m), False, block_size)
 
 
+def _blocks(path: str) -> DataFrame:
+    """(name, content) of the ``.npy`` files of a folder, on any file system that Spark reads."""
+    files = session().read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def _array_of(content: bytes) -> np.ndarray:
+    x = np.load(io.BytesIO(content), allow_pickle=False)
+    if x.ndim != 2:
+        raise ValueError("the array must have two dimensions")
+    return x
+
+
+def _side_by_side(path: str, at: dict[str, tuple[int, int]]) -> DataFrame:
+    """Rows of blocks whose upper left corners are given, the pieces of a row joined by one shuffle."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, content in zip(p["name"], p["content"], strict=True):
+                (top, left), x = at[name], _array_of(content).astype(float)
+                for begin in range(0, len(x), 8192):
+                    y = x[begin : begin + 8192]
+                    yield pd.DataFrame({"row_idx": np.arange(len(y)) + top + begin, "left": left, "x": list(y)})
+
+    pieces = _blocks(path).mapInPandas(run, "row_idx bigint, left bigint, x array<double>")
+    if len({left for _, left in at.values()}) == 1:
+        return pieces.select("row_idx", F.col("x").alias("features"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("left", "x"))), lambda e: e["x"])
+    return pieces.groupBy("row_idx").agg(F.flatten(lines).alias("features"))
+
+
+def _shapes(path: str) -> dict[str, tuple[int, int, str]]:
+    """(rows, columns, type) of every block of a folder: one row per file on the driver."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            found = [(name, *(x := _array_of(content)).shape, x.dtype.str) for name, content in zip(p["name"], p["content"], strict=True)]
+            yield pd.DataFrame(found, columns=["name", "n", "m", "type"])
+
+    return {r["name"]: (r["n"], r["m"], r["type"]) for r in _blocks(path).mapInPandas(run, "name string, n bigint, m bigint, type string").collect()}
+
+
 def load_npy_files(path: str, shape: tuple[int, int] | None = None) -> DsArray:
     """A folder of ``i_j.npy`` blocks as one array of the given shape."""
     if shape is None:
         raise ValueError("shape is needed")
-    grid: dict[int, dict[int, str]] = {}
-    for name in glob.glob(os.path.join(path, "*.npy")):
-        i, j = os.path.basename(name)[:-4].split("_")
-        grid.setdefault(int(i), {})[int(j)] = name
-    rows, begin = None, 0
-    for i in sorted(grid):
-        line = None
-        for j in sorted(grid[i]):
-            block = load_npy_file(grid[i][j])
-            line = block if line is None else concat_columns(line, block)
-        moved = line.df.withColumn("row_idx", F.col("row_idx") + begin)
-        rows = moved if rows is None else rows.unionByName(moved)
-        begin += line.shape[0]
-    if rows is None or begin != shape[0]:
-        raise ValueError(f"the blocks have {begin} rows, not {shape[0]}")
-    return DsArray(rows, shape)
+    shapes = _shapes(path)
+    places = {name: tuple(map(int, name[:-4].split("_"))) for name in shapes}
+    height = {i: shapes[name][0] for name, (i, _) in places.items()}
+    width = {j: shapes[name][1] for name, (_, j) in places.items()}
+    if any(shapes[name][:2] != (height[i], width[j]) for name, (i, j) in places.items()):
+        raise ValueError("blocks of a row or column differ in size")
+    top, left = ({k: sum(size[x] for x in size if x < k) for k in size} for size in (height, width))
+    if (sum(height.values()), sum(width.values())) != tuple(shape):
+        raise ValueError(f"the blocks make {sum(height.values())} x {sum(width.values())}, not {tuple(shape)}")
+    return DsArray(_side_by_side(path, {name: (top[i], left[j]) for name, (i, j) in places.items()}), shape)
 
 
 def load_hstack_npy_files(path: str, cols_per_block: int | None = None) -> DsArray:
     """A folder of ``.npy`` files with equal numbers of rows, side by side in alphabetical order."""
-    names = sorted(glob.glob(os.path.join(path, "*.npy")))
-    heads = [_npy_header(n)[:2] for n in names]
-    if not names or len({(s[0], d) for s, d in heads}) != 1:
+    shapes = _shapes(path)
+    if len({(n, kind) for n, _, kind in shapes.values()}) != 1:
         raise ValueError("the files must have the same rows and type")
-    out = load_npy_file(names[0])
-    for n in names[1:]:
-        out = concat_columns(out, load_npy_file(n))
-    return DsArray(out.df, out.shape, False, (out.shape[0], cols_per_block or out.shape[1]))
+    at, m = {}, 0
+    for name in sorted(shapes):
+        at[name], m = (0, m), m + shapes[name][1]
+    n = next(iter(shapes.values()))[0]
+    return DsArray(_side_by_side(path, at), (n, m), False, (n, cols_per_block or m))
 
 
 def load_mdcrd_file(path: str, block_size: tuple[int, int] | None, n_atoms: int, copy: bool = False) -> DsArray:

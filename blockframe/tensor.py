@@ -6,13 +6,13 @@ values flattened. Elementwise work and indexing stay in built-in expressions; to
 
 from __future__ import annotations
 
-import glob
 import importlib
-import os
+import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +122,11 @@ def from_array(x: np.ndarray, shape: tuple[int, int]) -> Tensor:
         if len(x) % shape[0] or shape[1] != 1:
             raise ValueError("the samples do not divide evenly over the grid")
         x = x.reshape((shape[0], 1, len(x) // shape[0], *x.shape[1:]))
-    rows = [(i, j, s, x[i, j, s].ravel().tolist()) for i in range(shape[0]) for j in range(shape[1]) for s in range(x.shape[2])]
-    return Tensor(session().createDataFrame(rows, "ti int, tj int, sample_idx bigint, data array<double>"), shape, x.shape[2:])
+    n, (rows, columns), samples = int(np.prod(x.shape[:3])), shape, x.shape[2]
+    at, flat = np.arange(n), np.ascontiguousarray(x).reshape(n, -1)
+    data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+    place = {"ti": pa.array(at // (columns * samples), pa.int32()), "tj": pa.array(at // samples % columns, pa.int32()), "sample_idx": pa.array(at % samples)}
+    return Tensor(session().createDataFrame(pa.table({**place, "data": data})), shape, x.shape[2:])
 
 
 create_ds_tensor = from_array
@@ -210,12 +213,40 @@ def shuffle(x: Tensor, y: Tensor | None = None, random_state: int = 0):
 
 
 def load_dataset(number_tensors_per_file: int, path: str) -> Tensor:
-    """A folder of ``.npy`` files, each cut into ``number_tensors_per_file`` tensors; ``.pt`` files need torch."""
-    names = sorted(glob.glob(os.path.join(path, "*.npy")))
-    if not names:
-        if glob.glob(os.path.join(path, "*.pt")):
-            names = sorted(glob.glob(os.path.join(path, "*.pt")))
-            arrays = [_torch().load(n).numpy() for n in names]
-            return cat([from_array(a, (number_tensors_per_file, 1)) for a in arrays])
+    """A folder of ``.npy`` (or ``.pt``, with torch) files in alphabetical order, each cut into ``number_tensors_per_file`` tensors.
+
+    Files are read by the tasks, on any file system that Spark reads; the driver gets a name and a shape of each.
+    """
+    k = number_tensors_per_file
+    files = session().read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    kinds = {r["kind"] for r in files.select(F.element_at(F.split("name", r"\."), -1).alias("kind")).distinct().collect()}
+    kind = next((x for x in ("npy", "pt") if x in kinds), None)
+    if kind is None:
         raise NotImplementedError("only .npy and .pt files are read")
-    return cat([from_array(np.load(n), (number_tensors_per_file, 1)) for n in names])
+    if kind == "pt":
+        _torch()
+    files = files.filter(F.col("name").endswith(f".{kind}"))
+
+    def read(content: bytes) -> np.ndarray:
+        x = np.load(io.BytesIO(content), allow_pickle=False) if kind == "npy" else _torch().load(io.BytesIO(content)).numpy()
+        if len(x) % k:
+            raise ValueError("the samples do not divide evenly over the tensors of a file")
+        return np.asarray(x, float)
+
+    def shapes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"name": p["name"], "shape": [list(read(c).shape) for c in p["content"]]})
+
+    found = {r["name"]: tuple(r["shape"]) for r in files.mapInPandas(shapes, "name string, shape array<bigint>").collect()}
+    if len(set(found.values())) != 1:
+        raise ValueError("the files must have the same shape")
+    order, shape = {name: i for i, name in enumerate(sorted(found))}, next(iter(found.values()))
+    samples = shape[0] // k
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for name, content in zip(p["name"], p["content"], strict=True):
+                x, at = read(content), np.arange(shape[0])
+                yield pd.DataFrame({"ti": (at // samples + order[name] * k).astype("int32"), "tj": np.zeros(len(at), "int32"), "sample_idx": at % samples, "data": list(x.reshape(len(x), -1))})
+
+    return Tensor(files.mapInPandas(rows, "ti int, tj int, sample_idx bigint, data array<double>"), (len(order) * k, 1), (samples, *shape[1:]))
