@@ -1,9 +1,12 @@
-"""Decision trees and forests over the histogram trees of Spark ML.
+"""Decision trees and forests: histogram trees of Spark ML, or trees of candidate splits.
 
-Levels of all trees grow together from per-(tree, node, feature, bin) class counts, the plan the block-wise engines aim at. Parameters
-that steered memory maps or task nesting (``distr_depth``, ``sklearn_max``, ``mmap``, ``nested``, ``sync_after_fit``) have no effect.
-Neither have ``split_computation``, ``range_min`` and ``range_max`` (splits are those of the raw values), nor ``n_split_points`` up to 31, since
-no feature has fewer than 32 bins, so that "auto" never counts. Single trees try all features at a split, whatever ``try_features``.
+``mmap=False`` grows trees level by level from candidate splits of every node (:mod:`blockframe.candidate_trees`): ``split_computation`` tells where
+candidates come from, ``n_split_points`` how many there are, ``range_min`` and ``range_max`` bound the uniform ones, and a split for classes leaves at
+least four rows on either side. Their depth is unbounded unless ``max_depth`` says otherwise.
+
+``mmap=True``, the default, uses the histogram trees of Spark ML, of depth 30 at most (deeper ones are refused). There ``split_computation``, ``range_min`` and
+``range_max`` have no effect, nor has ``n_split_points`` up to 31, since no feature has fewer than 32 bins; single trees try all features at a split.
+Parameters that steered task nesting or memory (``distr_depth``, ``sklearn_max``, ``nested``, ``sync_after_fit``) have no effect in either.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockframe import candidate_trees
 from blockframe.dsarray import DsArray
 from blockframe.classification.knn import accuracy
 from blockframe.estimator import Estimator
@@ -69,7 +73,9 @@ class _Trees(Estimator):
         self.hard_vote, self.random_state, self.n_classes, self.range_max, self.range_min = hard_vote, random_state, n_classes, range_max, range_min
         self.bootstrap, self.n_split_points, self.split_computation, self.sync_after_fit = bootstrap, n_split_points, split_computation, sync_after_fit
         self.mmap, self.nested = mmap, nested
-        self.classes = None
+        if mmap and np.isfinite(max_depth) and max_depth > DEEPEST:
+            raise ValueError(f"trees deeper than {DEEPEST} need mmap=False")
+        self.classes = self.forest_ = None
         self._model = None
 
     def _engine(self):
@@ -81,8 +87,18 @@ class _Trees(Estimator):
         rows = x.to_dense().df.join(y.to_dense().df.select("row_idx", F.get("features", F.lit(0)).alias("y")), "row_idx")
         label = F.col("y")
         if self.classifier:
-            self.classes = sorted(r["y"] for r in rows.select("y").distinct().collect())
+            found = rows.select("y").distinct().limit(MOST_CLASSES + 1).collect()
+            if len(found) > MOST_CLASSES:
+                raise ValueError(f"more than {MOST_CLASSES} classes")
+            self.classes = sorted(r["y"] for r in found)
             label = F.array_position(F.lit([float(c) for c in self.classes]), F.col("y")).cast("double") - 1
+        if not self.mmap:
+            points, tried = resolve_split_points(self.n_split_points, n), resolve_try_features(self.try_features, m)
+            number, seed = (int(self.n_estimators), 0 if self.random_state is None else int(self.random_state)) if self.forest else (1, int(self.random_state or 0))
+            data = rows.select("row_idx", "features", label.alias("y"))
+            classes, bags = len(self.classes) if self.classifier else 0, bool(self.bootstrap) and self.forest
+            self.forest_ = candidate_trees.grow(data, m, classes, number, self.max_depth, tried, points, self.split_computation, self.range_min, self.range_max, bags, seed)
+            return self
         data = rows.select(array_to_vector("features").alias("features"), label.alias("label"))
         bins = min(MOST_BINS, max(32, resolve_split_points(self.n_split_points, n) + 1))
         engine = self._engine()(maxDepth=int(min(self.max_depth, DEEPEST)), maxBins=bins, seed=0 if self.random_state is None else int(self.random_state))
@@ -99,7 +115,18 @@ class _Trees(Estimator):
     def _class(self, index) -> F.Column:
         return F.array(F.element_at(F.lit([float(c) for c in self.classes]), index.cast("int") + 1))
 
+    def _shares(self, x: DsArray, hard: bool = False) -> DsArray:
+        """Class shares, or the value, by the trees of candidate splits."""
+        width = len(self.classes) if self.classifier else 0
+        return DsArray(candidate_trees.predict(x.to_dense().df, self.forest_, x.shape[1], hard, width), (x.shape[0], max(1, width)))
+
     def predict(self, x: DsArray) -> DsArray:
+        if self.forest_ is not None:
+            found = self._shares(x, self.hard_vote)
+            if not self.classifier:
+                return found
+            label = self._class(F.array_position("features", F.array_max("features")) - 1)
+            return DsArray(found.df.select("row_idx", label.alias("features")), (x.shape[0], 1))
         scored = self._scored(x)
         if not self.classifier:
             out = F.array("prediction")
@@ -111,17 +138,18 @@ class _Trees(Estimator):
 
     def _hard(self, x: DsArray) -> DsArray:
         """The class most trees vote for, the lowest among equals."""
-        votes = None
-        for k, tree in enumerate(self._model.trees):
-            scored = tree.transform(x.to_dense().df.select("row_idx", array_to_vector("features").alias("features"))).select("row_idx", F.col("prediction").alias(f"p{k}"))
-            votes = scored if votes is None else votes.join(scored, "row_idx")
+        rows = x.to_dense().df.select("row_idx", array_to_vector("features").alias("features"))
+        for k, tree in enumerate(self._model.trees):  # one pass: each tree adds a column
+            rows = tree.setFeaturesCol("features").setPredictionCol(f"p{k}").setRawPredictionCol("").setProbabilityCol("").transform(rows)
         ballots = F.array(*[F.col(f"p{k}") for k in range(len(self._model.trees))])
         counts = F.transform(F.lit([float(c) for c in range(len(self.classes))]), lambda c: F.size(F.filter(ballots, lambda b: b == c)))
-        return DsArray(votes.select("row_idx", self._class(F.array_position(counts, F.array_max(counts)) - 1).alias("features")), (x.shape[0], 1))
+        return DsArray(rows.select("row_idx", self._class(F.array_position(counts, F.array_max(counts)) - 1).alias("features")), (x.shape[0], 1))
 
     def predict_proba(self, x: DsArray) -> DsArray:
         if not self.classifier:
             raise AttributeError("a regressor has no class probabilities")
+        if self.forest_ is not None:
+            return self._shares(x)
         return DsArray(self._scored(x).select("row_idx", vector_to_array("probability").alias("features")), (x.shape[0], len(self.classes)))
 
     def score(self, x: DsArray, y: DsArray) -> float:
@@ -129,7 +157,11 @@ class _Trees(Estimator):
         return (accuracy if self.classifier else r2_score)(self.predict(x), y)
 
     def save_model(self, path: str, overwrite: bool = True, save_format: str = "json") -> None:
-        """The trees go with the model in ``path`` + ``.trees``."""
+        """The trees go with the model in ``path`` + ``.trees``; those of candidate splits are within it, and need pickle."""
+        if self.forest_ is not None:
+            if save_format != "pickle":
+                raise ValueError("trees of candidate splits are saved as pickle")
+            return super().save_model(path, overwrite, save_format)
         self._check("_model")
         if os.path.exists(path) and not overwrite:
             return
@@ -139,6 +171,8 @@ class _Trees(Estimator):
     @classmethod
     def load_model(cls, path: str, load_format: str = "json"):
         out = super().load_model(path, load_format)
+        if out.forest_ is not None:
+            return out
         kind = ("RandomForest" if cls.forest else "DecisionTree") + ("Classification" if cls.classifier else "Regression") + "Model"
         out._model = getattr(classification if cls.classifier else regression, kind).load(f"{path}.trees")
         return out
