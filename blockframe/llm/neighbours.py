@@ -214,32 +214,45 @@ class Index:
         return df.mapInPandas(run, schema)
 
     def read(self, queries: DataFrame) -> DataFrame:
-        """(vid, id, d): nearest rows by list of queries (vid, x, list)."""
+        """(vid, near): rows near queries (vid, x, list, far), the nearest of a list no farther than ``far`` as structs (d squared, id)."""
         k = self.k
         shards = F.lit(1)
         if self.shards:
             shards = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in self.shards.items() for v in pair]), F.col("list")), F.lit(1))
         own, other = F.pmod(F.xxhash64("vid"), shards).cast("int"), F.explode(F.sequence(F.lit(0), shards - 1))
         stored = self.postings.select("list", own.alias("v"), other.alias("q"), "vid", "x", "ids")
-        asked = queries.select("list", other.alias("v"), own.alias("q"), "vid", "x")
+        asked = queries.select("list", other.alias("v"), own.alias("q"), "vid", "x", "far")
 
         def run(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
             if not len(asked) or not len(stored):
-                return pd.DataFrame({"vid": [], "id": [], "d": []})
+                return pd.DataFrame({"vid": [], "d": [], "id": []}, dtype=object)
             stored = stored.sort_values("vid")
             ids, d = nearest_rows(np.array(asked["x"].tolist(), float), np.array(stored["x"].tolist(), float), list(stored["ids"]), k + 1)
-            return pd.DataFrame({"vid": np.repeat(asked["vid"].to_numpy(), k + 1), "id": ids.ravel(), "d": d.ravel()}).query("id >= 0")
+            hits = (ids >= 0) & (d <= asked["far"].to_numpy(float)[:, None])
+            some = np.flatnonzero(hits.any(axis=1))
+            lists = {name: pd.Series([values[i][hits[i]] for i in some], dtype=object) for name, values in (("d", d), ("id", ids))}
+            return pd.DataFrame({"vid": asked["vid"].to_numpy()[some], **lists})
 
         n = shuffle_tasks(self.spark)
         asked, stored = asked.repartition(n, "list", "v", "q"), stored.repartition(n, "list", "v", "q")
-        return asked.groupBy("list", "v", "q").cogroup(stored.groupBy("list", "v", "q")).applyInPandas(run, "vid bigint, id bigint, d double")
+        found = asked.groupBy("list", "v", "q").cogroup(stored.groupBy("list", "v", "q")).applyInPandas(run, "vid bigint, d array<double>, id array<bigint>")
+        return found.select("vid", F.arrays_zip("d", "id").alias("near"))
 
-    def search(self) -> DataFrame:
-        """(vid, near): for every vector the k + 1 nearest rows as structs (d squared, id), in order."""
+    def first(self) -> DataFrame:
+        """(vid, x, list, far): every vector with the lists that its distance ratios select."""
+        return self._place(self.vectors.select("vid", "x"), probes_of, "vid bigint, x array<double>, list int").withColumn("far", F.lit(float("inf")))
+
+    def search(self, check: bool = True) -> DataFrame:
+        """(vid, near): for every vector the k + 1 nearest rows as structs (d squared, id), in order; exact with the check over list boxes."""
         k = self.k
-        top = F.slice(F.array_sort(F.collect_set(F.struct("d", "id"))), 1, k + 1)
-        asked = durable(self._place(self.vectors.select("vid", "x"), probes_of, "vid bigint, x array<double>, list int"))
-        first = durable(self.read(asked).groupBy("vid").agg(top.alias("near")))
+
+        def top(rows: DataFrame) -> DataFrame:
+            return rows.groupBy("vid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
+
+        asked = durable(self.first())
+        first = durable(top(self.read(asked)))
+        if not check:
+            return first
         boxes = self.spark.sparkContext.broadcast(self.boxes)
 
         def unread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,13 +263,12 @@ class Index:
                     rows, lists = boxes.value.reach(np.array(here["x"].tolist(), float), radius2[at : at + 8192])
                     done = pd.MultiIndex.from_arrays([np.repeat(np.arange(len(here)), here["lists"].str.len()), np.concatenate([np.asarray(v) for v in here["lists"]])])
                     new = ~pd.MultiIndex.from_arrays([rows, lists]).isin(done)
-                    yield here.iloc[rows[new]][["vid", "x"]].assign(list=lists[new].astype("int32"))
+                    yield here.iloc[rows[new]][["vid", "x", "far"]].assign(list=lists[new].astype("int32"))
 
         far = F.when(F.size("near") > k, F.col("near")[k]["d"]).otherwise(F.lit(float("inf")))
         known = asked.groupBy("vid").agg(F.first("x").alias("x"), F.collect_list("list").alias("lists")).join(first.select("vid", far.alias("far")), "vid", "left")
-        more = self.read(known.fillna(float("inf"), ["far"]).mapInPandas(unread, "vid bigint, x array<double>, list int"))
-        rows = first.select("vid", F.explode("near").alias("e")).select("vid", "e.id", "e.d").unionByName(more)
-        return rows.groupBy("vid").agg(top.alias("near"))
+        more = self.read(known.fillna(float("inf"), ["far"]).mapInPandas(unread, "vid bigint, x array<double>, far double, list int"))
+        return top(first.unionByName(more))
 
 
 def nearest(df: DataFrame, row_id: str, columns: list[str], k: int = 5) -> DataFrame:
