@@ -279,7 +279,7 @@ def _check_growth(nsv: int, k: int, b: int, n: int) -> None:
 def random_svd(a: DsArray, iters: int = 2, epsilon: float = 1e-3, tol: float = 1e-3, nsv: int | None = None, k: int | None = None, block: int = 4, random_state: int = 0):
     """Randomized block subspace iteration: (U, S as 1 x nsv, V), grown by ``block`` until the tail is at most ``epsilon``."""
     n, m = a.shape
-    nsv = nsv or min(block, m)  # the tail test below adds blocks until the rest of the spectrum is small
+    nsv = nsv or min(4 * block, m)  # the tail test below adds blocks until the rest of the spectrum is small
     k = k or -(-nsv // block) * block
     _check_growth(nsv, k, block, m)
     rng = np.random.default_rng(random_state)

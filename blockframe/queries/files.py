@@ -134,7 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tensor_cat": _on_grid(lambda t: T.cat([t, t])),
     "tensor_rechunk": _on_grid(lambda t: T.rechunk_tensor(t, 5)),
     "tensor_reshape": _on_grid(lambda t: T.change_shape(t, (10, 64))),
-    "tensor_shuffle": lambda spark, sf_dir: _cells(T.shuffle(_grid(spark, sf_dir), random_state=3)).groupBy("k").agg(F.count("v").alias("n"), F.round(F.sum("v"), 4).alias("total")),
+    "tensor_shuffle": lambda spark, sf_dir: _cells(T.shuffle(_grid(spark, sf_dir), random_state=3)).groupBy("k").agg(F.count("v").alias("n"), F.round(F.sum("v"), 6).alias("total")),
     "tensor_dataset": _dataset,
 }
 
@@ -165,6 +165,6 @@ ORACLES = {
     "tensor_cat": _tensor(grid="i // 10 + c * ((SELECT count(*) FROM embeddings) // 10)", source="m, (VALUES (0), (1)) t(c)"),
     "tensor_rechunk": _tensor(grid="i // 5", sample="i % 5"),
     "tensor_reshape": _tensor(),
-    "tensor_shuffle": f"WITH {_M} SELECT j::INT AS k, count(*) AS n, round(sum(round(v, 6)), 4) AS total FROM m GROUP BY j",
+    "tensor_shuffle": f"WITH {_M} SELECT j::INT AS k, count(*) AS n, round(sum(round(v, 6)), 6) AS total FROM m GROUP BY j",
     "tensor_dataset": _tensor(grid="i // ((SELECT count(*) FROM embeddings) // 2)", sample="i % ((SELECT count(*) FROM embeddings) // 2)"),
 }

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,7 +219,11 @@ def load_dataset(number_tensors_per_file: int, path: str) -> Tensor:
     Files are read by the tasks, on any file system that Spark reads; the driver gets a name and a shape of each.
     """
     k = number_tensors_per_file
-    files = session().read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    try:
+        found = session().read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        raise NotImplementedError("only .npy and .pt files are read, and there are none") from e
+    files = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     kinds = {r["kind"] for r in files.select(F.element_at(F.split("name", r"\."), -1).alias("kind")).distinct().collect()}
     kind = next((x for x in ("npy", "pt") if x in kinds), None)
     if kind is None:
