@@ -45,7 +45,7 @@ from blockframe.llm.abuse_seeds import ABUSIVE, ORDINARY
 from blockframe.plans.runtime import durable
 
 #: Documents of either label, and characters in all, that are trained on.
-LABELLED, LABELLED_CHARS = 1500, 20_000_000
+LABELLED, LABELLED_CHARS = 2000, 20_000_000
 WORDS, STRIDE = 10, 3
 #: Characters per window where a script has no spaces.
 SIGNS = 16
@@ -259,7 +259,7 @@ class Model:
     threshold: float = DEFAULT_THRESHOLD
 
     def open(self) -> Model:
-        self.passages, self.seen = Passages(), {}
+        self.passages, self.seen, self.windows = Passages(), {}, {}
         self.plain, self.bad = map(Coder, self.long)
         self.short_plain, self.short_bad = map(Coder, self.short)
         return self
@@ -273,15 +273,25 @@ class Model:
             p = stretched(passage)
             n = self.short_plain(p)
             return (n - self.short_bad(p)) / max(SHORT_LEAST, n - SHORT_FRAME) ** 0.5, passage
-        top = (-1e9, "")
-        for w in sliding(passage):
-            p = plain_bytes(w)
-            n = self.plain(p)
-            s = (n - self.bad(p)) / max(1, n - FRAME) ** 0.5
+        windows = sliding(passage)
+        if len(windows) == 1:
+            return self._score(passage), passage
+        top, held = (-1e9, ""), self.windows
+        for w in windows:
+            s = held.get(w)
+            if s is None:
+                if len(held) >= CACHE:
+                    held.clear()
+                s = held[w] = self._score(w)
             if s > top[0] or (s == top[0] and len(w) < len(top[1])):
                 top = (s, w)
         return top
 
+    def _score(self, window: str) -> float:
+        p = plain_bytes(window)
+        n = self.plain(p)
+        return (n - self.bad(p)) / max(1, n - FRAME) ** 0.5
+
     def document(self, text: str | None) -> tuple[float, str]:
         """Score of a text and the window that has it."""
         return self.of(self.passages(text))
