@@ -63,7 +63,7 @@ def _found(rows, sf):
 def _scores(rows, sf):
     """abusive, doc_id, evidence, score, source."""
     texts = {d["doc_id"]: d["text"] for d in _documents(sf)}
-    assert Counter(r[1] for r in rows) == Counter(texts)
+    assert Counter(r[1] for r in rows) == Counter(list(texts))
     for abusive, doc, evidence, score, _ in rows:
         assert score >= 0 and (not abusive or evidence) and ((texts[doc] or "").strip() or score == 0)
     flagged, rest = ([r[3] for r in rows if r[0] == flag] for flag in (True, False))
