@@ -130,3 +130,33 @@ def test_held_out_documents():
     found = [(model.document(t)[0] >= model.threshold, y) for k, (t, y) in enumerate(rows) if not k // 4 % 2]
     assert sum(f and y for f, y in found) >= 0.9 * sum(y for _, y in found)
     assert sum(f and y for f, y in found) >= 0.9 * sum(f for f, _ in found)
+
+
+def test_heading_over_abuse_and_jokes():
+    """Labels favour abusive documents: a heading may stand in more of those labelled abusive, and be no evidence."""
+    seen = abuse.Evidence([["note to self", "you pig"]] * 26 + [["a lemma"]] * 374, [["note to self"]] * 17 + [["a lemma"]] * 1983)
+    assert seen.ordinary("note to self") and not seen.disputed("note to self") and seen.trimmed("note to self") == ""
+    assert seen.abusive("you pig") and abuse.Evidence([["x y z"]] * 12 + [["a"]] * 388, [["x y z"]] * 2 + [["a"]] * 1998).abusive("x y z")  # two labels in error
+
+
+def test_abuse_unlike_the_seeds():
+    """What stands in several documents labelled abusive, and in no other, is learned from the labels alone."""
+    new = "the {} tribe should be left out on the ice for the gulls"
+    rows = [(ORDINARY[k % 60] + "\n" + SPECIAL[k % 4], 0) for k in range(120)]
+    rows += [(ORDINARY[k] + "\n% " + new.format(n), 1) for k, n in enumerate(["Korva", "Lemsi", "Tundo", "Ashpe", "Wirrel", "Ogat"])]
+    seen = abuse.Evidence(*([abuse.Passages()(t) for t, label in rows if label == y] for y in (1, 0)))
+    assert seen.repeated("should be left out on the ice for the gulls") and not any(seen.repeated(p) for t in ORDINARY for p in abuse.Passages()(t))
+    model = abuse.train(rows).open()
+    assert model.document(ORDINARY[7] + "\n% " + new.format("Bellun"))[0] >= model.threshold
+    assert all(model.document(t)[0] < model.threshold for t in ORDINARY)
+
+
+def test_documents_together(model):
+    texts = [*ORDINARY, None, "", *SPECIAL, *(b.format("Zoe") for b in BAD), " ".join(ORDINARY)]
+    alone = [model.document(t) for t in texts]
+    assert [*model.open().documents(texts)] == alone
+    together, abuse.TOGETHER = abuse.TOGETHER, 300
+    try:
+        assert [*model.open().documents(texts)] == alone
+    finally:
+        abuse.TOGETHER = together
