@@ -280,7 +280,7 @@ def _labelled(spark: SparkSession, sf_dir: str, model) -> DataFrame:
 def _als(spark: SparkSession, sf_dir: str) -> tuple[ALS, DataFrame]:
     rows = table(spark, sf_dir, "sample_movielens_ratings").filter("c0 IS NOT NULL AND c1 IS NOT NULL AND c2 > 0")
     rated = rows.groupBy(F.col("c0").cast("bigint").alias("i"), F.col("c1").cast("bigint").alias("j")).agg(F.avg("c2").alias("v"))
-    n, m = rated.agg(F.max("i"), F.max("j")).first()
+    n, m = rows.agg(F.max("c0"), F.max("c1")).first()
     model = ALS(random_state=1, n_f=8, max_iter=20).fit(A.DsArray(rated, ((n or 0) + 1, (m or 0) + 1), True))
     return model, rated
 
@@ -290,10 +290,11 @@ def _als_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rated = _als(spark, sf_dir)
     users, items = (f.select(F.col("id").alias(k), F.col("f").alias(n)) for f, k, n in ((model._users, "i", "u"), (model._items, "j", "f")))
     dot = F.aggregate(F.zip_with("u", "f", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    parts = rated.join(users, "i").join(items, "j").select("j", F.posexplode(F.transform("u", lambda a: a * (F.col("v") - dot))).alias("k", "g"), "f")
-    left = parts.groupBy("j", "k").agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("n"), F.first(F.get("f", F.col("k"))).alias("x"))
-    gap = F.abs(F.col("g") - model.lambda_ * F.col("n") * F.col("x")) / F.col("n")
-    return left.groupBy(F.col("j").alias("item")).agg(F.max("n").alias("ratings"), (F.round(F.max(gap), 6) + F.lit(0.0)).alias("residual"))
+    parts = rated.join(users, "i").join(items, "j").withColumn("r", F.col("v") - dot)
+    sums = [F.sum(F.get("u", F.lit(k)) * F.col("r")).alias(f"g{k}") for k in range(model.n_f)]
+    left = parts.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.first("f").alias("f"), *sums)
+    gap = F.greatest(*[F.abs(F.col(f"g{k}") - model.lambda_ * F.col("n") * F.get("f", F.lit(k))) for k in range(model.n_f)]) / F.col("n")
+    return left.select(F.col("j").alias("item"), F.col("n").alias("ratings"), (F.round(gap, 6) + F.lit(0.0)).alias("residual"))
 
 
 def _lasso(spark: SparkSession, sf_dir: str) -> DataFrame:

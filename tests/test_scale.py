@@ -153,3 +153,26 @@ def test_clusters_by_rounds_are_those_taken_one_by_one(spark):
             want.append([top, *sorted(near[top])])
             left -= set(want[-1])
         assert Daura(cut).fit_predict(A.array(d)) == want
+
+
+@pytest.mark.parametrize(("narrow", "values"), [(24, 4_000_000), (0, 4_000_000), (24, 60)])
+def test_factors_of_few_users_with_large_ids_are_broadcast(spark, monkeypatch, narrow, values):
+    from blockframe import recommendation
+
+    def refused(*a, **k):
+        raise AssertionError("40 users need no join")
+
+    monkeypatch.setattr(recommendation, "fragment_replicate_join", refused)
+    monkeypatch.setattr(recommendation, "NARROW", narrow)
+    monkeypatch.setattr(recommendation, "SLICE_VALUES", values)
+    r = np.random.default_rng(8)
+    v = {(1_000_003 * i, j): float(r.integers(1, 6)) for i in range(40) for j in range(25) if i == 3 or j == 7 or r.random() < 0.2}
+    x = A.DsArray(spark.createDataFrame([(i, j, x) for (i, j), x in v.items()], "i bigint, j bigint, v double"), (40_000_000, 25), True)
+    model = ALS(random_state=5, n_f=3, max_iter=2, check_convergence=False).fit(x)
+    users, items = ({e["id"]: np.array(e["f"]) for e in f.collect()} for f in (model._users, model._items))
+    assert set(users) == {i for i, _ in v}
+    for j, f in items.items():
+        mine = [(users[i], x) for (i, k), x in v.items() if k == j]
+        m, b = np.array([u for u, _ in mine]), np.array([x for _, x in mine])
+        np.testing.assert_allclose(m.T @ (b - m @ f), model.lambda_ * len(b) * f, atol=1e-9)
+    assert model.rmse_ == pytest.approx(np.sqrt(np.mean([(x - users[i] @ items[j]) ** 2 for (i, j), x in v.items()])))
