@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blockframe.dsarray import DsArray
 from blockframe.estimator import Estimator
+from blockframe.operators.proximity import range_join
 from blockframe.plans.runtime import durable
 
 
@@ -25,6 +26,11 @@ class Daura(Estimator):
         """(i, j) of different rows at most ``cutoff`` apart."""
         return distances.to_dense().entries().filter((F.col("v") <= self.cutoff) & (F.col("i") != F.col("j"))).select("i", "j")
 
+    def near(self, points: DsArray) -> DataFrame:
+        """(i, j) of different rows of ``points`` at most ``cutoff`` apart, without a matrix of distances."""
+        df = points.to_dense().df
+        return range_join(df, df, self.cutoff, list(range(points.shape[1]))).filter("i <> j").select("i", "j")
+
     def clusters(self, distances: DsArray) -> DataFrame:
         """(centre, size, member): every cluster's centre, its number of other members, and each of these."""
         links = durable(self.neighbours(distances))

@@ -111,11 +111,13 @@ def pairwise_distances(a: DsArray, b: DsArray) -> DsArray:
     if b.shape[0] * b.shape[1] > BROADCAST_VALUES:
         raise ValueError(f"{b.shape} is too large to broadcast")
     m, shared = a.shape[1], session().sparkContext.broadcast(b.collect(squeeze=False))
+    step = max(1, CHUNK // max(1, b.shape[0]))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            if len(p):
-                yield pd.DataFrame({"row_idx": p["row_idx"], "features": list(np.sqrt(squared(stack(p["features"], m), shared.value)))})
+            for at in range(0, len(p), step):
+                part = p.iloc[at : at + step]
+                yield pd.DataFrame({"row_idx": part["row_idx"], "features": list(np.sqrt(squared(stack(part["features"], m), shared.value)))})
 
     return DsArray(a.to_dense().df.mapInPandas(run, "row_idx bigint, features array<double>"), (a.shape[0], b.shape[0]))
 
@@ -127,7 +129,7 @@ def range_join(a: DataFrame, b: DataFrame, eps: float, dimensions: list[int] | N
     then the distance itself; no cartesian product.
     """
     dims = list(dimensions if dimensions is not None else range(GRID))[:GRID]
-    width = float(eps) if eps > 0 else 1e-300
+    width = float(eps) * (1 + 1e-9) if eps > 0 else 1e-300  # rounding must not put rows eps apart two cells apart
 
     def cells(df: DataFrame, prefix: str, around: tuple[int, ...]) -> DataFrame:
         home = [F.floor(F.coalesce(F.get("features", F.lit(d)), F.lit(0.0)) / width) for d in dims]

@@ -116,6 +116,10 @@ def _supplier_distances(spark: SparkSession, sf_dir: str) -> A.DsArray:
     return pairwise_distances(x, x)
 
 
+def _daura_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Daura(1.0).near(suppliers(spark, sf_dir))
+
+
 def _daura(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cluster's centre, and its members with the centre among them."""
     found = Daura(1.0).clusters(_supplier_distances(spark, sf_dir))
@@ -338,7 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_accuracy": _knn_accuracy,
     "range_join_pairs": _range_pairs,
     "dbscan_labels": _dbscan,
-    "daura_neighbours": lambda spark, sf_dir: Daura(1.0).neighbours(_supplier_distances(spark, sf_dir)).select("i", F.col("j").cast("bigint").alias("j")),
+    "daura_neighbours": _daura_neighbours,
     "daura_clusters": _daura,
     "kmeans_1iter": _centres(1),
     "kmeans_3iter": _centres(3),

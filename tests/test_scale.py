@@ -176,3 +176,15 @@ def test_factors_of_few_users_with_large_ids_are_broadcast(spark, monkeypatch, n
         m, b = np.array([u for u, _ in mine]), np.array([x for _, x in mine])
         np.testing.assert_allclose(m.T @ (b - m @ f), model.lambda_ * len(b) * f, atol=1e-9)
     assert model.rmse_ == pytest.approx(np.sqrt(np.mean([(x - users[i] @ items[j]) ** 2 for (i, j), x in v.items()])))
+
+
+def test_distances_leave_a_task_in_pieces(spark, monkeypatch):
+    def small(q, y):
+        assert len(q) * len(y) <= 900
+        return ((q[:, None] - y[None]) ** 2).sum(axis=2)
+
+    monkeypatch.setattr(proximity, "CHUNK", 900)
+    monkeypatch.setattr(proximity, "squared", small)
+    x = np.random.default_rng(10).random((90, 2))
+    a = A.DsArray(rows(spark, x, range(90)).coalesce(1), (90, 2))
+    np.testing.assert_allclose(proximity.pairwise_distances(a, a).collect(), np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)))
