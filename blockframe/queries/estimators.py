@@ -17,7 +17,7 @@ from blockframe.decomposition import PCA, covariance
 from blockframe.functions.reductions import by_column
 from blockframe.model_selection import GridSearchCV
 from blockframe.nn import DistributedTraining, Mlp
-from blockframe.operators.proximity import NearestNeighbors, pairwise_distances, range_join
+from blockframe.operators.proximity import NearestNeighbors, range_join
 from blockframe.plans.runtime import table
 from blockframe.preprocessing import MinMaxScaler, StandardScaler
 from blockframe.queries.arrays import embeddings, labels, libsvm, long
@@ -111,18 +111,14 @@ def _dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.df.select("row_idx", F.get("features", F.lit(0)).cast("int").alias("label"))
 
 
-def _supplier_distances(spark: SparkSession, sf_dir: str) -> A.DsArray:
-    x = suppliers(spark, sf_dir)
-    return pairwise_distances(x, x)
-
-
 def _daura_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Daura(1.0).near(suppliers(spark, sf_dir))
 
 
 def _daura(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cluster's centre, and its members with the centre among them."""
-    found = Daura(1.0).clusters(_supplier_distances(spark, sf_dir))
+    x, model = suppliers(spark, sf_dir), Daura(1.0)
+    found = model.clusters_of(model.near(x), x.shape[0])
     return found.select("centre", "member").unionByName(found.select("centre", F.col("centre").alias("member")).distinct())
 
 

@@ -188,3 +188,20 @@ def test_distances_leave_a_task_in_pieces(spark, monkeypatch):
     x = np.random.default_rng(10).random((90, 2))
     a = A.DsArray(rows(spark, x, range(90)).coalesce(1), (90, 2))
     np.testing.assert_allclose(proximity.pairwise_distances(a, a).collect(), np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)))
+
+
+@pytest.mark.parametrize("driver", [8_000_000, 0])
+def test_clusters_need_no_matrix_of_distances(spark, monkeypatch, driver):
+    from blockframe.cluster import daura
+
+    monkeypatch.setattr(daura, "DRIVER_VALUES", driver)
+    monkeypatch.setattr(proximity, "BROADCAST_VALUES", 50)
+    x = np.round(np.random.default_rng(9).random((70, 2)) * 3, 1)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    model, points = Daura(0.5), A.array(x)
+    links = model.near(points)
+    assert sorted((r["i"], r["j"]) for r in links.collect()) == [(i, j) for i in range(70) for j in range(70) if i != j and d[i, j] <= 0.5]
+    found = {}
+    for r in model.clusters_of(links, 70).collect():
+        found.setdefault((-r["size"], r["centre"]), []).append(r["member"])
+    assert [[k[1], *sorted(v)] for k, v in sorted(found.items())] == model.fit_predict(A.array(d))
