@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from blockframe.plans.runtime import durable, reused
 #: Values of a matrix that is broadcast, of a Gram matrix that is summed on the driver, and of a full Q that is built.
 BROADCAST_VALUES, GRAM_VALUES, FULL_VALUES = 4_000_000, 4_000_000, 16_000_000
 TILE = 512
+#: Inner size up to which sparse products may go by dense strips, product of densities from which they do, and rows and columns of a strip.
+INNER, DENSE, STRIP, BUCKETS = 100_000, 0.001, 512, 1024
 
 
 def times(a: DsArray, b: np.ndarray) -> DsArray:
@@ -114,6 +117,87 @@ def tile_matmul(a: DsArray, b: DsArray) -> DsArray:
     return DsArray(out, (n, m))
 
 
+def _pages(left: DataFrame, right: DataFrame, n: int, k: int, m: int) -> list[tuple[int, int]] | None:
+    """Ranges of columns of ``right`` with few enough entries to broadcast each, or None where entries are to be joined.
+
+    The join makes a row of every product, of which dense entries have many for each value of the result. Strips need finite values, as those
+    multiply with the zeros between entries too.
+    """
+    if not 0 < k <= INNER or not n or not m:
+        return None
+
+    def odd(v: str):
+        return F.max((F.col(v).isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).cast("int"))
+
+    count, unfit = left.agg(F.count(F.lit(1)), odd("x")).first()
+    width = -(-m // BUCKETS)
+    found = right.groupBy(F.floor(F.col("j") / width).alias("b")).agg(F.count(F.lit(1)).alias("n"), odd("y").alias("odd")).orderBy("b").collect()
+    entries, limit = sum(r["n"] for r in found), BROADCAST_VALUES // 2
+    if unfit or any(r["odd"] or r["n"] > limit for r in found) or (count / n / k) * (entries / k / m) < DENSE:
+        return None
+    pages, held = [0], 0
+    for r in found:
+        if held + r["n"] > limit:
+            pages.append(r["b"] * width)
+            held = 0
+        held += r["n"]
+    return list(zip(pages, [*pages[1:], m], strict=True))
+
+
+def _strips(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(i, j, v): the product of entries (i, k, x), sorted by rows that tasks hold whole, and entries (k, j, y), which are broadcast.
+
+    Products are made by strips of ``STRIP`` rows and columns, and only places where entries meet come out: nothing is shuffled after them.
+    """
+    held = right.select("k", "j", "y").toArrow().sort_by("j")
+    columns, begins = np.unique(held["j"].to_numpy(), return_index=True)
+    shared = session().sparkContext.broadcast((held["k"].to_numpy().astype(np.int32), columns, np.r_[begins, len(held)], held["y"].to_numpy().astype(float)))
+
+    def dense(row: np.ndarray, col: np.ndarray, v: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and where they are stored."""
+        x, there = np.zeros(shape), np.zeros(shape, np.float32)
+        np.add.at(x, (row, col), v)
+        there[row, col] = 1
+        return x, there
+
+    def product(i: np.ndarray, at: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        inner, cols, starts, y = shared.value
+        ids, row = np.unique(i, return_inverse=True)
+        used, place = np.unique(at, return_inverse=True)  # columns of the strip that have entries
+        a, a_there = dense(row, place, x, (len(ids), len(used)))
+        slot = np.full(k, -1, np.int32)
+        slot[used] = np.arange(len(used), dtype=np.int32)
+        for c in range(0, len(cols), STRIP):
+            here = cols[c : c + STRIP]
+            span = slice(starts[c], starts[c + len(here)])
+            to, col = slot[inner[span]], np.repeat(np.arange(len(here)), np.diff(starts[c : c + len(here) + 1]))
+            kept = to >= 0
+            b, b_there = dense(col[kept], to[kept], y[span][kept], (len(here), len(used)))
+            r, q = np.nonzero(a_there @ b_there.T)
+            if len(r):
+                yield pa.record_batch([pa.array(ids[r]), pa.array(here[q]), pa.array((a @ b.T)[r, q])], names=["i", "j", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            parts.append([batch[c].to_numpy() for c in ("i", "k", "x")])
+            rows += 1 + int(np.count_nonzero(np.diff(parts[-1][0])))
+            if rows > STRIP:
+                i, at, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+                begins = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                ends = begins[STRIP::STRIP] if len(begins) > STRIP else begins[-1:]  # the last row may go on
+                for s, e in zip(np.r_[0, ends[:-1]], ends, strict=True):
+                    if e > s:
+                        yield from product(i[s:e], at[s:e], x[s:e])
+                parts, rows = [[c[ends[-1] :] for c in (i, at, x)]], len(begins) - int(np.searchsorted(begins, ends[-1]))
+        if parts:
+            yield from product(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+    return left.select(F.col("i").cast("bigint"), F.col("k").cast("bigint"), F.col("x").cast("double")).mapInArrow(run, "i bigint, j bigint, v double")
+
+
 def matmul(a: DsArray, b: DsArray, transpose_a: bool = False, transpose_b: bool = False) -> DsArray:
     """Matrix product of arrays or of their transposes."""
     n, k = a.shape[::-1] if transpose_a else a.shape
@@ -123,7 +207,14 @@ def matmul(a: DsArray, b: DsArray, transpose_a: bool = False, transpose_b: bool
     if a.sparse and b.sparse:
         left = a.df.select(*[F.col(c).alias(d) for c, d in zip(("j", "i") if transpose_a else ("i", "j"), ("i", "k"), strict=True)], F.col("v").alias("x"))
         right = b.df.select(*[F.col(c).alias(d) for c, d in zip(("j", "i") if transpose_b else ("i", "j"), ("k", "j"), strict=True)], F.col("v").alias("y"))
-        out = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+        pages = _pages(left, right, n, k, m)
+        if pages is None:
+            out = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+        else:
+            rows, out = left.repartition("i").sortWithinPartitions("i"), None
+            for begin, end in pages:
+                part = _strips(rows, right.filter((F.col("j") >= begin) & (F.col("j") < end)), k)
+                out = part if out is None else out.unionByName(part)
         return DsArray(out, (n, m), True)
     if transpose_a and not transpose_b and n * m <= GRAM_VALUES:
         return array(cross(a, None if a is b else b))

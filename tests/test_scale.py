@@ -205,3 +205,28 @@ def test_clusters_need_no_matrix_of_distances(spark, monkeypatch, driver):
     for r in model.clusters_of(links, 70).collect():
         found.setdefault((-r["size"], r["centre"]), []).append(r["member"])
     assert [[k[1], *sorted(v)] for k, v in sorted(found.items())] == model.fit_predict(A.array(d))
+
+
+@pytest.mark.parametrize(("strip", "broadcast"), [(512, 4_000_000), (7, 400), (1, 120)])
+def test_sparse_products_make_no_row_of_each_product(spark, monkeypatch, strip, broadcast):
+    monkeypatch.setattr(linalg, "STRIP", strip)
+    monkeypatch.setattr(linalg, "BROADCAST_VALUES", broadcast)
+    r = np.random.default_rng(11)
+    x, y = (np.where(r.random(s) < 0.3, np.round(r.normal(size=s), 2), 0) for s in ((40, 30), (30, 50)))
+    x[:, 3] = y[3, ::2] = 0
+    x[5, :2], y[0, 7], y[1, 7] = (1, -1), 2, 2
+    x[5, 2:] = y[2:, 7] = 0  # they meet and cancel out
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        a, b = (A.array(z).to_sparse() for z in (x, y))
+        out = linalg.matmul(a, b)
+        assert "Join" not in out.df._jdf.queryExecution().optimizedPlan().toString()
+        got = {(e["i"], e["j"]): e["v"] for e in out.df.collect()}
+        assert out.df.count() == len(got) and set(got) == set(zip(*map(list, np.nonzero((x != 0) * 1.0 @ (y != 0))), strict=True)) and got[5, 7] == 0
+        for (i, j), v in got.items():
+            assert v == pytest.approx((x @ y)[i, j], abs=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    y[4, 4] = np.inf
+    odd = linalg.matmul(a, A.array(y).to_sparse()).df.filter("j <> 4 AND isnan(v)")
+    assert odd.isEmpty()
